@@ -32,12 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame, types as T
 
 #: Segmentations that a unit can have; a document's id chooses among them.
-VARIANTS = 4
+VARIANTS = 2
 SEED, RATE = 20_240_601, 0.1
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 _UNIT = re.compile(r" *[^ ]+| +")
 _MASK = (1 << 64) - 1
 NONE = 1 << 30
+K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+
+
+def hashed(points: np.ndarray, inside: np.ndarray, seed: int) -> np.ndarray:
+    """Keyed 64-bit hash of each row's code points."""
+    h = np.full(len(points), seed & _MASK, np.uint64)
+    for c, on in zip(points.T, inside.T):
+        new = (h ^ c.astype(np.uint64)) * K1
+        h = np.where(on, new ^ (new >> np.uint64(29)), h)
+    return h
 
 
 def _slots(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
@@ -79,7 +89,7 @@ class Pieces:
         self.rank = {i: r for r, i in enumerate(order)}
         self.chars = {t for t in self.ids if len(t) == 1}
         self.texts = {i: t for t, i in self.ids.items()}
-        self._pairs = self._by_rank = None
+        self._pairs = self._by_rank = self._letters = None
         self._halves: dict[int, tuple[int, int] | None] = {}
 
     def symbols(self, unit: str, skip=None, trace: list | None = None) -> list[str]:
@@ -175,69 +185,69 @@ class Pieces:
                 break
         return out
 
-    def many(self, units: list[str], base: np.ndarray | None = None, limit: int = 0) -> list[list[int]]:
-        """Ids of units of about one length, the agendas of all worked off side
-        by side: in each round every unit merges its best candidate."""
+    def many(self, units: list[str], seed: int = 0, limit: int = 0) -> list[bytes]:
+        """Ids (as int32 bytes) of units of about one length, the agendas of all
+        worked off side by side: in each round every unit merges its best
+        candidate. Symbols stay where their first letter stands; ``nxt`` and
+        ``prv`` lead to their neighbours."""
         n, width = len(units), max(map(len, units))
-        sym = np.full((n, width), -2, np.int32)
-        get = self.ids.get
-        for r, u in enumerate(units):
-            sym[r, : len(u)] = [get(c, -1) for c in u]
-        start = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
+        points = np.frombuffer("".join([u.ljust(width, "\uffff") for u in units]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+        length = np.array([len(u) for u in units])
+        inside = np.arange(width) < length[:, None]
+        whole = np.full((n, width + 1), -2, np.int32)
+        whole[:, :-1] = np.where(inside, self.letters()[points], -2)
+        base = hashed(points, inside, seed) if limit else None
         id_of = self.by_rank()
-        live, out = np.arange(n), [None] * n
 
-        def ranked(a, b, pos, who):
+        def ranked(a, b, place, who):
             got = self.ranks_of(a, b)
             if limit:
-                on = got < NONE
-                if on.any():
-                    h = (base[np.broadcast_to(who[:, None], got.shape)[on]] ^ (pos[on].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + id_of[got[on]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-                    got[on] = np.where((h >> np.uint64(32)) < limit, NONE, got[on])
+                on = np.flatnonzero(got < NONE)
+                if len(on):
+                    h = (base[who[on]] ^ (place[on].astype(np.uint64) * K1)) + id_of[got[on]].astype(np.uint64) * K2
+                    h = (h ^ (h >> np.uint64(31))) * K3
+                    got[on[(h >> np.uint64(32)) < limit]] = NONE
             return got
 
-        rank = ranked(sym[:, :-1], sym[:, 1:], start[:, :-1], live) if width > 1 else np.full((n, 0), NONE, np.int32)
-        done = []
+        live, sym = np.arange(n), whole.copy()
+        nxt = np.broadcast_to(np.arange(1, width + 2, dtype=np.int32), (n, width + 1)).copy()
+        prv = np.broadcast_to(np.arange(-1, width, dtype=np.int32), (n, width + 1)).copy()
+        rank = np.full((n, width + 1), NONE, np.int32)
+        r, k = np.nonzero((sym[:, :-1] >= 0) & (sym[:, 1:] >= 0))
+        rank[r, k] = ranked(sym[r, k], sym[r, k + 1], k, r)
         while len(live):
-            best = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(live), np.int64)
+            best = rank.argmin(axis=1)
             row = np.arange(len(live))
-            top = rank[row, best] if rank.shape[1] else np.full(len(live), NONE)
-            over = top == NONE
-            if over.any():
-                done.append((live[over], sym[over], start[over]))
-                on = ~over
-                live, sym, start, rank, best, top = live[on], sym[on], start[on], rank[on], best[on], top[on]
-                if not len(live):
+            top = rank[row, best]
+            on = top < NONE
+            if not on.all():
+                whole[live[~on]] = sym[~on]
+                if not on.any():
                     break
+                live, sym, nxt, prv, rank, best, top = live[on], sym[on], nxt[on], prv[on], rank[on], best[on], top[on]
                 row = np.arange(len(live))
-            sym[row, best] = id_of[top]
-            cols = np.arange(sym.shape[1] - 1)
-            shift = cols + (cols > best[:, None])
-            sym, start = np.take_along_axis(sym, shift, 1), np.take_along_axis(start, shift, 1)
-            if sym.shape[1] == 1:
-                rank = np.full((len(live), 0), NONE, np.int32)
-                continue
-            cols = cols[:-1]
-            rank = np.take_along_axis(rank, np.minimum(cols + (cols >= best[:, None]), rank.shape[1] - 1), 1)
-            for at in (best - 1, best):
-                ok = (at >= 0) & (at < rank.shape[1])
-                r, k = row[ok], at[ok]
-                rank[r, k] = ranked(sym[r, k][:, None], sym[r, k + 1][:, None], start[r, k][:, None], live[ok])[:, 0]
-        for who, s, at in done:
-            for r, ids, begin in zip(who.tolist(), s.tolist(), at.tolist()):
-                if -1 in ids:
-                    full = []
-                    for i, b in zip(ids, begin):
-                        if i == -1:
-                            full += [self.byte_id[x] for x in units[r][b].encode()]
-                        elif i >= 0:
-                            full.append(i)
-                    out[r] = full
-                elif ids[-1] == -2:
-                    out[r] = ids[: ids.index(-2)]
-                else:
-                    out[r] = ids
+            gone = nxt[row, best]
+            after = nxt[row, gone]
+            sym[row, best], sym[row, gone] = id_of[top], -3
+            rank[row, gone] = NONE
+            nxt[row, best] = after
+            ok = after <= width
+            prv[row[ok], after[ok]] = best[ok]
+            rank[row, best] = NONE
+            rank[row[ok], best[ok]] = ranked(sym[row[ok], best[ok]], sym[row[ok], after[ok]], best[ok], live[ok])
+            before = prv[row, best]
+            ok = before >= 0
+            rank[row[ok], before[ok]] = ranked(sym[row[ok], before[ok]], sym[row[ok], best[ok]], before[ok], live[ok])
+        flat, ends = whole[whole >= 0].astype("<i4").tobytes(), (np.cumsum((whole >= 0).sum(axis=1)) * 4).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for k in np.flatnonzero((whole == -1).any(axis=1)).tolist():  # with letters that are no pieces
+            ids: list[int] = []
+            for i, c in zip(whole[k].tolist(), units[k]):
+                if i == -1:
+                    ids += [self.byte_id[x] for x in c.encode()]
+                elif i >= 0:
+                    ids.append(i)
+            out[k] = np.array(ids, "<i4").tobytes()
         return out
 
     def by_rank(self) -> np.ndarray:
@@ -247,6 +257,14 @@ class Pieces:
                 self._by_rank[r] = i
         return self._by_rank
 
+    def letters(self) -> np.ndarray:
+        """Code point -> id of the piece that is this letter; -1 if there is none."""
+        if self._letters is None:
+            self._letters = np.full(0x110000, -1, np.int32)
+            for c in self.chars:
+                self._letters[ord(c)] = self.ids[c]
+        return self._letters
+
     def halves(self, i: int) -> tuple[int, int] | None:
         """The two pieces whose merge makes piece i last; None for a letter, and
         for a piece that the merges never make."""
@@ -283,8 +301,8 @@ class Pieces:
             else:  # of equals the left one merges first
                 limit, b = rb + 1, hb[0]
 
-    def decode(self, ids) -> str:
-        return b"".join([self.raw[i] for i in ids]).decode()[1:]
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode()[1:]
 
 
 @lru_cache(maxsize=2)
@@ -301,14 +319,18 @@ class Encoder:
         self.seed, self.limit = seed, int(rate * (1 << 32))
         self.known: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
 
-    def _base(self, unit: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * VARIANTS + variant) & _MASK)
+    def _key(self, variant: int) -> int:
+        return xxhash.xxh64_intdigest(str(variant), self.seed & _MASK)
 
     def alone(self, unit: str, variant: int) -> list[int]:
         """Ids of one unit, by an agenda of its own."""
         if not self.limit:
             return self.pieces.of_symbols(self.pieces.symbols(unit))
-        base, limit = self._base(unit, variant), self.limit
+        points = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        base, limit = self._key(variant), self.limit
+        for c in points.tolist():
+            base = ((base ^ c) * int(K1)) & _MASK
+            base ^= base >> 29
 
         def skip(position: int, piece: int) -> bool:
             h = ((base ^ (position * 0x9E3779B97F4A7C15 & _MASK)) + piece * 0xC2B2AE3D27D4EB4F) & _MASK
@@ -320,7 +342,8 @@ class Encoder:
     def variant(self, key) -> int:
         return 0 if key is None else xxhash.xxh64_intdigest(str(key), self.seed & _MASK) % VARIANTS
 
-    def encode(self, texts: list[str | None], keys: list | None = None) -> list[list[int]]:
+    def encode(self, texts: list[str | None], keys: list | None = None) -> list[bytes]:
+        """The ids of each text, as little-endian int32."""
         variants = [self.variant(k) for k in keys] if keys is not None else [0] * len(texts)
         split = [_UNIT.findall(" " + t) if t else [] for t in texts]
         for v, known in enumerate(self.known):
@@ -333,11 +356,11 @@ class Encoder:
             self._learn([u for u in new if u not in known], v)
         out = []
         for units, v in zip(split, variants):
-            known, ids = self.known[v], []
-            for u in units:
-                got = known.get(u)
-                ids += self.alone(u, v) if got is None else got
-            out.append(ids)
+            known = self.known[v]
+            try:
+                out.append(b"".join(map(known.__getitem__, units)))
+            except KeyError:  # long units aren't remembered
+                out.append(b"".join([known[u] if u in known else np.array(self.alone(u, v), "<i4").tobytes() for u in units]))
         return out
 
     def _learn(self, units: list[str], variant: int) -> None:
@@ -349,8 +372,7 @@ class Encoder:
             while stop < len(units) and stop - at < 8192 and len(units[stop]) <= size + 2:
                 stop += 1
             part = units[at:stop]
-            base = np.array([self._base(u, variant) for u in part], np.uint64) if self.limit else None
-            self.known[variant].update(zip(part, self.pieces.many(part, base, self.limit)))
+            self.known[variant].update(zip(part, self.pieces.many(part, self._key(variant), self.limit)))
             at = stop
 
 
@@ -359,6 +381,12 @@ def encoder(model_file: str, seed: int, rate: float) -> Encoder:
     return Encoder(model_file, seed, rate)
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(ends), flat, type=pa.list_(pa.field("element", pa.int32(), False)))
+
+
 def encode_column(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "pieces", seed: int = SEED, rate: float = RATE, model_file: str | None = None
 ) -> DataFrame:
@@ -379,7 +407,7 @@ def encode_column(
                 for t, got in zip(texts, ids):
                     if coder.pieces.decode(got) != (t or ""):
                         raise ValueError("a segmentation lost its text")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.field("element", pa.int32(), False)))], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, out])
 
     return passed.mapInArrow(run, schema)
 
@@ -396,7 +424,7 @@ def op5(documents: DataFrame, seed: int = SEED, rate: float = RATE, model_file:
                 keys, texts = (c.to_pylist() for c in batch.slice(i, 512).columns)
                 rows = []
                 for key, text, ids in zip(keys, texts, coder.encode(texts, keys)):
-                    rows.append((key, len((text or "").encode()), len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), coder.pieces.decode(ids) == (text or "")))
+                    rows.append((key, len((text or "").encode()), len(ids) // 4, hashlib.sha256(ids).hexdigest(), coder.pieces.decode(ids) == (text or "")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["doc_id", "n_bytes", "n_pieces", "ids_sha256", "round_trip"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
