@@ -38,16 +38,18 @@ class Scratch:
         self._count += 1
         return f"{self.root}/{self._count:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: later stages start from the files."""
+    def keep(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
+        """Write ``df`` and read it back: later stages start from the files.
+        large: the shuffles behind it are worth being freed at once."""
         path, schema = self.path(name), df.schema
         df.write.mode("overwrite").parquet(path)
-        # Tasks whose executor is lost start again from the files, so the
-        # shuffles that made them aren't needed; Spark frees them once the
-        # driver has collected its garbage.
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if large:
+            # Tasks whose executor is lost start again from the files, so the
+            # shuffles that made them aren't needed; Spark frees them once the
+            # driver has collected its garbage.
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(schema).parquet(path)
         out._gridloom_path = path
         return out
