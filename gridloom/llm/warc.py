@@ -37,6 +37,7 @@ from .scratch import Scratch
 REVISIT_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
 LEVEL = 3
+FRAMES_A_TASK = 64
 # The seekable format's magic numbers.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _SEEK_ENTRY, _SEEK_FOOTER = struct.Struct("<II"), struct.Struct("<IBI")
@@ -213,7 +214,10 @@ def read_archives(index: DataFrame, id_type: str) -> DataFrame:
             if reader:
                 reader.close()
 
+    # frames are few bytes in this table but much work: a count of partitions of
+    # its own, or adaptive execution would read them all in one task
     frames = index.select("bundle", "frame").distinct()
+    frames = frames.repartition(max(1, -(-frames.count() // FRAMES_A_TASK)), "bundle", "frame").sortWithinPartitions("bundle", "frame")
     out = frames.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload string")
     return out.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
