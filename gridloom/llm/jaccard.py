@@ -308,11 +308,12 @@ def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFram
     links = scratch.keep(_verified(pairs, classes, documents), "links", large=True)
     ids = classes.select("f", F.col("id").alias("node"))
 
-    def settled(links: DataFrame) -> DataFrame:
-        found = connected_components(links, scratch)
+    def settled(links: DataFrame, rounds: int | None = None) -> DataFrame:
+        found = connected_components(links, scratch, rounds=rounds)
         return scratch.keep(ids.join(found, "node", "left").select("f", F.coalesce("component", "node").alias("component")), "components")
 
-    classed = settled(links)
+    # what is known to be linked needn't be settled to spare the second round pairs
+    classed = settled(links, rounds=2)
     rows = shared.select("token", "f", "n", "pos").join(classed, "f")
     mixed_tokens = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rows = scratch.keep(rows.join(mixed_tokens, "token"), "mixed", large=True)
@@ -322,9 +323,7 @@ def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFram
     cond = (F.col("componenta") != F.col("componentb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("fa") < F.col("fb")))) & _may_link("na", "posa", "nb", "posb")
     more = a.join(b, "token").where(cond).select("fa", "fb").distinct()
     extra = scratch.keep(_verified(more, classes, documents), "links", large=True)
-    if not extra.isEmpty():
-        classed = settled(links.union(extra))
-    return nodes, classed
+    return nodes, settled(links.union(extra))
 
 
 def op2(spark: SparkSession, documents: DataFrame) -> DataFrame:

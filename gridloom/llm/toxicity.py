@@ -33,8 +33,10 @@ BUCKETS = 2048
 THRESHOLD = 0.3
 BITS = 20
 SHORTEST, LONGEST = 4, 12
-FEATURES = 20_000
-L1, COUNTERFACTUAL, STEPS = 2e-4, 0.5, 150
+#: Indicators kept at most, and for each row of the sample; the L1 weight falls
+#: with the sample too, as the noise of a weight does.
+FEATURES, FEATURES_A_ROW = 20_000, 3
+L1, COUNTERFACTUAL, STEPS = 0.6, 0.5, 150
 
 # Identity terms; a swap takes the next of the same line.
 IDENTITY = [
@@ -146,7 +148,7 @@ def fit(x: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, weight: n
             d = 2 * COUNTERFACTUAL * share * (real.times(z) - other.times(z))
             g += real.back(d) - other.back(d)
         new = z - rate * g
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * L1, 0)
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * L1 / len(y), 0)
         new_b = zb - rate * r.sum()
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         z, zb = new + (old - 1) / t * (new - w), new_b + (old - 1) / t * (new_b - b)
@@ -171,8 +173,9 @@ def learn(spark, documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, f
     a, c = (np.bincount(np.concatenate([r for r, v in zip(x, y) if v == s]), minlength=1 << BITS) for s in (1, 0))
     p, q = (a + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1)
     worth = np.where(a + c >= 3, np.abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0 + 1e-9), 0)
-    chosen = np.flatnonzero(worth >= np.partition(worth, -FEATURES)[-FEATURES])
-    chosen = chosen[worth[chosen] > 0][:FEATURES]
+    most = min(FEATURES, FEATURES_A_ROW * len(y))
+    chosen = np.sort(np.argsort(-worth, kind="stable")[:most])
+    chosen = chosen[worth[chosen] > 0]
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     x, swapped = ([place[r][place[r] >= 0] for r in rows_] for rows_ in (x, swapped))
