@@ -132,9 +132,10 @@ def fit(x: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, weight: n
     # largest curvature, by power iteration
     v = np.ones(dim)
     for _ in range(12):
-        v = matrix.back(0.25 * weight * matrix.times(v))
+        u = v
+        v = matrix.back(0.25 * weight * matrix.times(u))
         if pairs:
-            d = 2 * COUNTERFACTUAL * share * (real.times(v) - other.times(v))
+            d = 2 * COUNTERFACTUAL * share * (real.times(u) - other.times(u))
             v += real.back(d) - other.back(d)
         size = np.linalg.norm(v)
         v /= max(size, 1e-12)
