@@ -178,6 +178,10 @@ def test_pieces_and_counts_odd_rows(spark, odd):
     assert tokencount.op7(odd.where("false")).count() == 0
     coded = pieces.encode_column(odd, out="score")
     assert coded.columns.count("score") == 1 and coded.count() == len(ODD) + 2
+    many = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text no. "), "id").alias("text"))
+    rows = pieces.encode_column(many).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(3000))
+    assert pieces.op5(many).count() == 3000
 
 
 def test_vectors(spark):
@@ -250,6 +254,10 @@ def test_pipeline(spark, tmp_path):
     texts = dict(docs.select("doc_id", "text").collect())
     coder = pieces.Encoder(pieces.default_model())
     assert 0 < len(kept) < len(texts)
+    before = docs
+    for name, stage in corpus.STAGES[:-1]:
+        before = stage(spark, before, DATA)
+    assert {r["doc_id"] for r in before.select("doc_id").collect()} == set(kept) and out.count() == len(kept)
     assert all(coder.pieces.decode(np.array(p, "<i4").tobytes()) == texts[i] for i, p in kept.items())
     leaks = {r["doc_id"] for r in decontam.matches(spark, docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     assert not leaks & set(kept)
