@@ -15,7 +15,9 @@ rare first, and two similar sets must share a shingle within short prefixes.
    pairs grow with the rows, not with the square of a group. Length, positional
    and (on the histograms) suffix filters prune; survivors are verified on their
    texts, once a pair.
-4. A second round pairs what shares a shingle but isn't yet in one component,
+4. Shingles with many nodes still in several components have a few more such
+   rounds, each with other hubs, chosen by keyed hashes.
+5. A last round pairs what shares a shingle but isn't yet in one component,
    under the same filters; so nothing that decides a component is left out, and
    groups of near copies, one component by then, cost nothing more.
 
@@ -36,8 +38,11 @@ from .scratch import Scratch
 
 WORDS = 5
 SKETCH_BITS, PARTS = 20, 64
-BINS = 32
+#: A set's histogram: its shingles by their hashes' upper bits, up to FULL each.
+BINS, FULL = 256, 255
 SEEN = 200_000
+#: Further hub rounds, for shingles of more than CROWD rows, with HUBS hubs each.
+HUB_ROUNDS, CROWD, HUBS = 2, 16, 4
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POW = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
 _SPACE = np.zeros(256, bool)
@@ -96,7 +101,7 @@ def _nodes(documents: DataFrame) -> DataFrame:
                     sh, _ = shingles(words)
                     n.append(len(sh))
                     f.append(fingerprint(sh) if len(sh) else None)
-                    bins.append(np.bincount((sh >> np.uint64(59)).astype(np.int64), minlength=BINS).astype("<u4").tobytes())
+                    bins.append(np.minimum(np.bincount((sh >> np.uint64(56)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes())
                     # a word counts once a document
                     counts[np.unique((words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))] += 1
                 none = [None] * len(f)
@@ -254,10 +259,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Dat
     def suffix(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, BINS) for k in (6, 7))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (6, 7))
+                full = (x.max(axis=1) == FULL) | (y.max(axis=1) == FULL)  # these may have more than they tell
                 both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
                 n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
-                yield batch.filter(pa.array(7 * both >= 3 * (n + m))).select([0, 1, 2, 3])
+                yield batch.filter(pa.array(full | (7 * both >= 3 * (n + m)))).select([0, 1, 2, 3])
 
     close = pairs.join(ca, "fa").join(cb, "fb").select("fa", "fb", "ia", "ib", "na", "nb", "ba", "bb").mapInArrow(suffix, f"fa long, fb long, ia {kind}, ib {kind}")
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("i"), F.col("text").alias("t"))
@@ -296,6 +302,25 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Dat
     return full.mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
 
+def _mixed(rows: DataFrame, classed: DataFrame) -> DataFrame:
+    """Rows of shingles whose nodes are in two components or more, with their
+    components and the number of the shingle's rows."""
+    rows = rows.select("token", "f", "n", "pos").join(classed, "f")
+    tokens = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("crowd")).where("lo < hi").select("token", "crowd")
+    return rows.join(tokens, "token")
+
+
+def _crowded(rows: DataFrame, k: int) -> DataFrame:
+    """Pairs (fa, fb) of the rows of crowded shingles with their hubs: of each
+    shingle and length class the nodes first by HUBS keyed hashes, so the same
+    nodes are hubs of many shingles. Nodes of one component aren't paired."""
+    big = rows.where(F.col("crowd") > CROWD).withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))))
+    picks = [F.min(F.struct(F.xxhash64(F.lit(k * HUBS + h), "f").alias("o"), "f", "n", "pos", "component")).alias(f"h{h}") for h in range(HUBS)]
+    hubs = big.groupBy("token", "kind").agg(*picks).select("token", "kind", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"h{h}.{c}").alias(c) for c in ("f", "n", "pos", "component")]) for h in range(HUBS)]))).alias("hub"))
+    met = big.join(hubs.select("token", "kind", *[F.col(f"hub.{c}").alias("h" + c) for c in ("f", "n", "pos", "component")]), ["token", "kind"])
+    return met.where((F.col("component") != F.col("hcomponent")) & _may_link("n", "pos", "hn", "hpos")).select(F.least("f", "hf").alias("fa"), F.greatest("f", "hf").alias("fb")).distinct()
+
+
 def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (doc_id, f, n) of every row, and classes (f, component)."""
     scratch = Scratch(spark, "jaccard")
@@ -312,12 +337,18 @@ def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFram
         found = connected_components(links, scratch, rounds=rounds)
         return scratch.keep(ids.join(found, "node", "left").select("f", F.coalesce("component", "node").alias("component")), "components")
 
-    # what is known to be linked needn't be settled to spare the second round pairs
-    classed = settled(links, rounds=2)
-    rows = shared.select("token", "f", "n", "pos").join(classed, "f")
-    mixed_tokens = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rows = scratch.keep(rows.join(mixed_tokens, "token"), "mixed", large=True)
-    scratch.drop(shared)
+    # what is known to be linked needn't be settled to spare the later rounds pairs
+    classed, rows = settled(links, rounds=2), shared.select("token", "f", "n", "pos")
+    for k in range(HUB_ROUNDS + 1):
+        old, rows = rows, scratch.keep(_mixed(rows, classed), "mixed", large=True)
+        scratch.drop(shared if k == 0 else old)
+        if k == HUB_ROUNDS:
+            break
+        new = scratch.keep(_verified(_crowded(rows, k), classes, documents), "links", large=True)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        classed = settled(links, rounds=3)
     left = rows.where(F.expr("pos < n - (6L * n + 6) div 7 + 1"))
     a, b = (r.select("token", *(F.col(c).alias(c + s) for c in ("f", "n", "pos", "component"))) for r, s in ((left, "a"), (rows, "b")))
     cond = (F.col("componenta") != F.col("componentb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("fa") < F.col("fb")))) & _may_link("na", "posa", "nb", "posb")

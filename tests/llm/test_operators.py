@@ -95,6 +95,15 @@ def test_jaccard_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_jaccard_long_texts(spark):
+    """Sets whose histograms are full pass the suffix filter."""
+    long = [f"w{i}" for i in range(120_000)]
+    far = long[:60_000] + [f"v{i}" for i in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-3000])), (3, " ".join(far)), (4, " ".join(long[:60_000]))]
+    got = jaccard.op2(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = jaccard.op2(spark, odd).collect()
     assert len(got) == len(ODD) + 2
