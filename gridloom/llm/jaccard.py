@@ -15,11 +15,15 @@ rare first, and two similar sets must share a shingle within short prefixes.
    pairs grow with the rows, not with the square of a group. Length, positional
    and (on the histograms) suffix filters prune; survivors are verified on their
    texts, once a pair.
-4. Shingles with many nodes still in several components have a few more such
-   rounds, each with other hubs, chosen by keyed hashes.
-5. A last round pairs what shares a shingle but isn't yet in one component,
-   under the same filters; so nothing that decides a component is left out, and
-   groups of near copies, one component by then, cost nothing more.
+4. The nodes of shingles that still join several components are open. Their
+   prefixes are made anew, by the exact number of open nodes that hold each
+   shingle: a document of a large group whose own words set it apart has a
+   prefix of its own shingles, and meets no one.
+5. Shingles with many open nodes have a few more such rounds, each with other
+   hubs, chosen by keyed hashes.
+6. A last round pairs what shares a shingle of these prefixes but isn't yet in
+   one component, under the same filters; so nothing that decides a component is
+   left out, and groups of near copies, one component by then, cost nothing more.
 
 Defined results: a document without words has no shingles, size 0, and links
 with nothing; one with fewer than five words has its whole sequence as one
@@ -321,6 +325,40 @@ def _crowded(rows: DataFrame, k: int) -> DataFrame:
     return met.where((F.col("component") != F.col("hcomponent")) & _may_link("n", "pos", "hn", "hpos")).select(F.least("f", "hf").alias("fa"), F.greatest("f", "hf").alias("fb")).distinct()
 
 
+def _sets(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(f, tokens) of the nodes in ``rows``: all their shingles."""
+    wanted = rows.select("f").distinct().join(classes.select("f", F.col("id").alias("doc_id")), "f")
+    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text").join(wanted, "doc_id").select("f", "text")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                f, tokens = [], []
+                for key, text in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns)):
+                    sh, _ = shingles(words_of(text))
+                    if len(sh) and fingerprint(sh) == key:  # else another row with this id
+                        f.append(key)
+                        tokens.append(sh.astype(np.int64))
+                ends = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
+                flat = pa.array(np.concatenate([np.zeros(0, np.int64), *tokens]))
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat, type=pa.list_(pa.field("element", pa.int64(), False)))], names=["f", "tokens"])
+
+    return texts.mapInArrow(run, "f long, tokens array<long>").dropDuplicates(["f"])
+
+
+def _by_count(sets: DataFrame) -> DataFrame:
+    """(token, f, n, pos) of the sets' prefixes, shingles that the
+    fewest sets hold first. Those that one set holds meet no one: they take
+    their places of the prefix, but aren't written."""
+    each = sets.select("f", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = each.join(counts, "token").groupBy("f").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("held"))
+    sized = held.join(sets.select("f", F.size("tokens").alias("n")), "f").withColumn("alone", F.col("n") - F.size("held"))
+    room = F.expr("n - (3L * n + 3) div 4 + 1 - alone").cast("int")
+    some = sized.where(room > 0).select("f", "n", "alone", F.posexplode(F.slice("held", F.lit(1), room)).alias("at", "t"))
+    return some.select(F.col("t.token").alias("token"), "f", "n", (F.col("alone") + F.col("at")).cast("int").alias("pos"))
+
+
 def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (doc_id, f, n) of every row, and classes (f, component)."""
     scratch = Scratch(spark, "jaccard")
@@ -338,17 +376,23 @@ def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFram
         return scratch.keep(ids.join(found, "node", "left").select("f", F.coalesce("component", "node").alias("component")), "components")
 
     # what is known to be linked needn't be settled to spare the later rounds pairs
-    classed, rows = settled(links, rounds=2), shared.select("token", "f", "n", "pos")
+    classed = settled(links, rounds=2)
+    mixed = scratch.keep(_mixed(shared.select("token", "f", "n", "pos"), classed), "mixed", large=True)
+    scratch.drop(shared)
+    sets = scratch.keep(_sets(mixed, classes, documents), "sets", large=True)
+    scratch.drop(mixed)
+    rows = scratch.keep(_by_count(sets), "rare", large=True)
+    scratch.drop(sets)
     for k in range(HUB_ROUNDS + 1):
         old, rows = rows, scratch.keep(_mixed(rows, classed), "mixed", large=True)
-        scratch.drop(shared if k == 0 else old)
+        scratch.drop(old)
         if k == HUB_ROUNDS:
             break
         new = scratch.keep(_verified(_crowded(rows, k), classes, documents), "links", large=True)
         if new.isEmpty():
             break
         links = links.union(new)
-        classed = settled(links, rounds=3)
+        classed = settled(links)
     left = rows.where(F.expr("pos < n - (6L * n + 6) div 7 + 1"))
     a, b = (r.select("token", *(F.col(c).alias(c + s) for c in ("f", "n", "pos", "component"))) for r, s in ((left, "a"), (rows, "b")))
     cond = (F.col("componenta") != F.col("componentb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("fa") < F.col("fb")))) & _may_link("na", "posa", "nb", "posb")
