@@ -316,10 +316,13 @@ def _mixed(rows: DataFrame, classed: DataFrame) -> DataFrame:
 
 def _crowded(rows: DataFrame, k: int) -> DataFrame:
     """Pairs (fa, fb) of the rows of crowded shingles with their hubs: of each
-    shingle and length class the nodes first by HUBS keyed hashes, so the same
-    nodes are hubs of many shingles. Nodes of one component aren't paired."""
+    shingle and length class the nodes first by HUBS keyed hashes. In the first
+    round the same nodes are hubs of many shingles; later each shingle has hubs
+    of its own, so that a node meets as many as it has shingles. Nodes of one
+    component aren't paired."""
     big = rows.where(F.col("crowd") > CROWD).withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))))
-    picks = [F.min(F.struct(F.xxhash64(F.lit(k * HUBS + h), "f").alias("o"), "f", "n", "pos", "component")).alias(f"h{h}") for h in range(HUBS)]
+    salt = [] if k == 0 else ["token"]
+    picks = [F.min(F.struct(F.xxhash64(F.lit(k * HUBS + h), *salt, "f").alias("o"), "f", "n", "pos", "component")).alias(f"h{h}") for h in range(HUBS)]
     hubs = big.groupBy("token", "kind").agg(*picks).select("token", "kind", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"h{h}.{c}").alias(c) for c in ("f", "n", "pos", "component")]) for h in range(HUBS)]))).alias("hub"))
     met = big.join(hubs.select("token", "kind", *[F.col(f"hub.{c}").alias("h" + c) for c in ("f", "n", "pos", "component")]), ["token", "kind"])
     return met.where((F.col("component") != F.col("hcomponent")) & _may_link("n", "pos", "hn", "hpos")).select(F.least("f", "hf").alias("fa"), F.greatest("f", "hf").alias("fb")).distinct()
