@@ -307,11 +307,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Dat
 
 
 def _mixed(rows: DataFrame, classed: DataFrame) -> DataFrame:
-    """Rows of shingles whose nodes are in two components or more, with their
-    components and the number of the shingle's rows."""
-    rows = rows.select("token", "f", "n", "pos").join(classed, "f")
-    tokens = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("crowd")).where("lo < hi").select("token", "crowd")
-    return rows.join(tokens, "token")
+    """Rows that share their shingle with a node of another component and of a
+    length that may link, with their components and the number of such rows.
+    Lengths that may link lie in one class or in two beside each other."""
+    kind = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.34))).cast("int")
+    rows = rows.select("token", "f", "n", "pos", kind.alias("kind")).join(classed, "f")
+    near = rows.select("token", "component", F.explode(F.array(*[F.col("kind") + d for d in (-1, 0, 1)])).alias("kind"))
+    tokens = near.groupBy("token", "kind").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("crowd")).where("lo < hi").select("token", "kind", "crowd")
+    return rows.join(tokens, ["token", "kind"]).drop("kind")
 
 
 def _crowded(rows: DataFrame, k: int) -> DataFrame:
@@ -353,7 +356,8 @@ def _by_count(sets: DataFrame) -> DataFrame:
     """(token, f, n, pos) of the sets' prefixes, shingles that the
     fewest sets hold first. Those that one set holds meet no one: they take
     their places of the prefix, but aren't written."""
-    each = sets.select("f", F.explode("tokens").alias("token"))
+    # counted and joined where one shuffle has put them
+    each = sets.select("f", F.explode("tokens").alias("token")).repartition("token")
     counts = each.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
     held = each.join(counts, "token").groupBy("f").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("held"))
     sized = held.join(sets.select("f", F.size("tokens").alias("n")), "f").withColumn("alone", F.col("n") - F.size("held"))
