@@ -306,6 +306,7 @@ _s("REPLACE", 4, 4, lambda s, i, n, t: F.concat(F.left(s, _int(i) - 1), t, F.sub
 _s("FIND", 2, 3, lambda a, s, i: F.call_function("locate", a, s, _int(i)).cast("double"), (lambda a, s, i: (i < 1) | (F.call_function("locate", a, s, _int(i)) == 0), "#VALUE!"), types="ssn", kind="n", defaults=(1.0,))
 _s("CODE UNICODE", 1, 1, lambda s: F.ascii(s).cast("double"), (lambda s: s == "", "#VALUE!"), kind="n")
 _n("CHAR", 1, 1, lambda x: F.chr(_int(x)), (lambda x: (x < 1) | (x > 255), "#VALUE!"), kind="s")
+_n("UNICHAR", 1, 1, lambda x: F.decode(F.unhex(F.lpad(F.hex(_trunc(x).cast("long")), 8, "0")), "UTF-32"), (lambda x: (x < 1) | (x >= 0x110000) | ((x >= 0xD800) & (x < 0xE000)), "#VALUE!"), kind="s")
 _s("PROPER", 1, 1, lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2), F.length(w))))), ""))
 _s("VALUE", 1, 1, lambda s: s, kind="s")
 put("VALUE", 1, 1, lambda v: number(text(v)) if v.kind == "s" else number(v))
@@ -509,6 +510,7 @@ _n("NPER", 3, 5, lambda r, p, pv, fv, t: F.when(r == 0, F.try_divide(-(pv + fv),
 _bad_per = (lambda r, per, n, *x: (per < 1) | (per > n), "#NUM!")
 _n("IPMT", 4, 6, _ipmt, _bad_per, defaults=(0, 0))
 _n("PPMT", 4, 6, lambda r, per, n, pv, fv, t: _pmt(r, n, pv, fv, t) - _ipmt(r, per, n, pv, fv, t), _bad_per, defaults=(0, 0))
+_n("NPV", 2, 255, lambda r, *flows: sum((F.try_divide(v, _grow(r, F.lit(float(i)))) for i, v in enumerate(flows, 1)), F.lit(0.0)), (lambda r, *flows: r == -1, "#DIV/0!"))
 _n("SLN", 3, 3, lambda c, s, n: F.try_divide(c - s, n), (lambda c, s, n: n == 0, "#DIV/0!"))
 _n("SYD", 4, 4, lambda c, s, n, p: F.try_divide((c - s) * (n - p + 1) * 2, n * (n + 1)), (lambda c, s, n, p: (n <= 0) | (p < 1) | (p > n), "#NUM!"))
 

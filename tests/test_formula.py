@@ -14,7 +14,7 @@ CASES = {
     "=LEFT(\"abc\",2)": "ab", "=MID(\"abcd\",2,2)": "bc", "=FIND(\"c\",\"abc\")": 3.0, "=FIND(\"x\",\"abc\")": "#VALUE!", "=SEARCH(\"B?\",\"abc\")": 2.0, "=PROPER(\"two words\")": "Two Words", "=TRIM(\"  a   b \")": "a b", "=SUBSTITUTE(\"a-b-c\",\"-\",\"+\",2)": "a-b+c",
     "=TEXTBEFORE(\"a,b,c\",\",\",2)": "a,b", "=TEXTAFTER(\"a,b,c\",\",\",-1)": "c", "=TEXTJOIN(\"-\",TRUE,\"a\",\"\",\"b\")": "a-b", "=FIXED(1234.567,1)": "1,234.6", "=DOLLAR(-5)": "($5.00)", "=REPT(\"ab\",2)": "abab", "=VALUE(\"50%\")": 0.5, "=CHAR(65)": "A",
     "=DATE(2008,1,1)": 39448.0, "=DATE(1900,2,29)": 60.0, "=YEAR(39448)": 2008.0, "=DAY(60)": 28.0, "=WEEKDAY(1)": 1.0, "=EOMONTH(39448,1)": 39507.0, "=NETWORKDAYS(39448,39478)": 23.0, "=WORKDAY(39448,10)": 39462.0, "=DATEDIF(39448,39813,\"M\")": 11.0, "=HOUR(0.75)": 18.0,
-    "=ROUND(PMT(0.01,12,1000),4)": -88.8488, "=SLN(1000,100,9)": 100.0, "=ROUND(DB(1000,100,5,1),2)": 369.0, "=ROUND(DDB(1000,100,5,2),2)": 240.0, "=NPER(0,-10,100)": 10.0,
+    "=ROUND(PMT(0.01,12,1000),4)": -88.8488, "=SLN(1000,100,9)": 100.0, "=ROUND(DB(1000,100,5,1),2)": 369.0, "=ROUND(DDB(1000,100,5,2),2)": 240.0, "=NPER(0,-10,100)": 10.0, "=NPV(0.1,110,121)": 200.0, "=NPV(-1,1)": "#DIV/0!", "=UNICHAR(8364)": "€", "=UNICHAR(128512)": "\U0001F600", "=UNICHAR(0)": "#VALUE!",
     "=ISNUMBER(1/0)": False, "=ISERR(NA())": False, "=ERROR.TYPE(1/0)": 2.0, "=TYPE(1/0)": 16.0, "=SWITCH(2,1,\"a\",2,\"b\")": "b", "=CHOOSE(3,1,2)": "#VALUE!", "=AND(FALSE,1/0)": "#DIV/0!", "=IFS(FALSE,1)": "#N/A", "=XOR(TRUE,TRUE)": False,
 }
 
