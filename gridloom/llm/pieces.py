@@ -3,18 +3,21 @@ worked off through an agenda, with or without seeded merge-dropout.
 
 The agenda holds the adjacent symbol pairs whose joined text is a piece, best
 score first, leftmost first among equals. With dropout, a popped candidate is
-skipped if a keyed hash of (seed, variant, unit, position, piece) falls below
-the rate, so a seed and a variant always give the same segmentation, on any
-executor and after any retry. No skipped merge changes the text: every
-segmentation decodes to what was encoded.
+skipped if a keyed hash of (seed, document, unit's place in the text, position,
+piece) falls below the rate, so each occurrence of a word draws for itself, and
+a seed and a document always give the same segmentation, on any executor and
+after any retry. No skipped merge changes the text: every segmentation decodes
+to what was encoded.
 
 A text is cut into units, a run of spaces and the letters up to the next space:
-no piece crosses from a letter to a following space, so units are encoded apart
-and remembered. A literal U+2581, which the library would take for a space, is
+no piece crosses from a letter to a following space, so units are encoded apart.
+What is remembered of a unit is its segmentation without dropout and the merges
+that lead there: where none of these is skipped it stands, all other occurrences
+work off an agenda of their own. A literal U+2581, which the library would take for a space, is
 encoded by its bytes instead and so survives the round trip.
 
-Defined results: a null text counts as empty; an empty text has no pieces. A
-null id takes variant 0. Repeated rows get equal segmentations. Columns other
+Defined results: a null text counts as empty; an empty text has no pieces. For
+a null id the text is the document's key. Repeated rows get equal segmentations. Columns other
 than the id and the text are ignored or, with ``encode_column``, passed on.
 """
 
@@ -24,30 +27,29 @@ import hashlib
 import heapq
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, types as T
 
-#: Segmentations that a unit can have; a document's id chooses among them.
-VARIANTS = 2
 SEED, RATE = 20_240_601, 0.1
 REMEMBERED = 700_000
+#: Longer units are not remembered.
+LONGEST = 32
 _UNIT = re.compile(r" *[^ ]+| +")
 _MASK = (1 << 64) - 1
 NONE = 1 << 30
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
-def hashed(points: np.ndarray, inside: np.ndarray, seed: int) -> np.ndarray:
-    """Keyed 64-bit hash of each row's code points."""
-    h = np.full(len(points), seed & _MASK, np.uint64)
-    for c, on in zip(points.T, inside.T):
-        new = (h ^ c.astype(np.uint64)) * K1
-        h = np.where(on, new ^ (new >> np.uint64(29)), h)
-    return h
+def skipped(h: np.ndarray, limit: int) -> np.ndarray:
+    """Whether a merge is skipped; h is (occurrence's key ^ position * K1) + piece * K2."""
+    return (((h ^ (h >> np.uint64(31))) * K3) >> np.uint64(32)) < limit
 
 
 def _slots(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
@@ -185,10 +187,11 @@ class Pieces:
                 break
         return out
 
-    def many(self, units: list[str], seed: int = 0, limit: int = 0) -> list[bytes]:
+    def many(self, units: list[str], keys: np.ndarray | None = None, limit: int = 0, merges: list | None = None) -> list[bytes]:
         """Ids (as int32 bytes) of units of about one length, the agendas of all
         worked off side by side: in each round every unit merges its best
-        candidate. Symbols stay where their first letter stands; ``nxt`` and
+        candidate, but for those that its key skips. ``merges`` gets each round's
+        units, positions and pieces. Symbols stay where their first letter stands; ``nxt`` and
         ``prv`` lead to their neighbours."""
         n, width = len(units), max(map(len, units))
         points = np.frombuffer("".join([u.ljust(width, "\uffff") for u in units]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
@@ -196,7 +199,6 @@ class Pieces:
         inside = np.arange(width) < length[:, None]
         whole = np.full((n, width + 1), -2, np.int32)
         whole[:, :-1] = np.where(inside, self.letters()[points], -2)
-        base = hashed(points, inside, seed) if limit else None
         id_of = self.by_rank()
 
         def ranked(a, b, place, who):
@@ -204,9 +206,8 @@ class Pieces:
             if limit:
                 on = np.flatnonzero(got < NONE)
                 if len(on):
-                    h = (base[who[on]] ^ (place[on].astype(np.uint64) * K1)) + id_of[got[on]].astype(np.uint64) * K2
-                    h = (h ^ (h >> np.uint64(31))) * K3
-                    got[on[(h >> np.uint64(32)) < limit]] = NONE
+                    h = (keys[who[on]] ^ (place[on].astype(np.uint64) * K1)) + id_of[got[on]].astype(np.uint64) * K2
+                    got[on[skipped(h, limit)]] = NONE
             return got
 
         live, sym = np.arange(n), whole.copy()
@@ -226,6 +227,8 @@ class Pieces:
                     break
                 live, sym, nxt, prv, rank, best, top = live[on], sym[on], nxt[on], prv[on], rank[on], best[on], top[on]
                 row = np.arange(len(live))
+            if merges is not None:
+                merges.append((live, best, id_of[top]))
             gone = nxt[row, best]
             after = nxt[row, gone]
             sym[row, best], sym[row, gone] = id_of[top], -3
@@ -311,69 +314,108 @@ def pieces(model_file: str) -> Pieces:
 
 
 class Encoder:
-    """Texts to piece ids; segmentations of common units are remembered, up to
-    a bound after which the memory starts afresh."""
+    """Texts to piece ids; undropped segmentations of common units are
+    remembered, up to a bound after which the memory starts afresh."""
 
     def __init__(self, model_file: str, seed: int = SEED, rate: float = RATE):
         self.pieces = pieces(model_file)
         self.seed, self.limit = seed, int(rate * (1 << 32))
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
-
-    def _key(self, variant: int) -> int:
-        return xxhash.xxh64_intdigest(str(variant), self.seed & _MASK)
-
-    def alone(self, unit: str, variant: int) -> list[int]:
+        #: By key of an occurrence; only of key 0, which skips no merge.
+        self.known: list[dict[str, bytes]] = [{}]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Each unit's number, and by it: letters, where its merges start and,
+        ended by the next one's start, the two terms of each merge's hash."""
+        self.known[0].clear()
+        self.number: dict[str, int] = {}
+        self.size, self.start, self.place, self.piece = array("q"), array("q", [0]), array("Q"), array("Q")
+
+    def alone(self, unit: str, key: int) -> list[int]:
         """Ids of one unit, by an agenda of its own."""
-        if not self.limit:
+        if not (key and self.limit):
             return self.pieces.of_symbols(self.pieces.symbols(unit))
-        points = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
-        base, limit = self._key(variant), self.limit
-        for c in points.tolist():
-            base = ((base ^ c) * int(K1)) & _MASK
-            base ^= base >> 29
+        limit = self.limit
 
         def skip(position: int, piece: int) -> bool:
-            h = ((base ^ (position * 0x9E3779B97F4A7C15 & _MASK)) + piece * 0xC2B2AE3D27D4EB4F) & _MASK
+            h = ((key ^ (position * 0x9E3779B97F4A7C15 & _MASK)) + piece * 0xC2B2AE3D27D4EB4F) & _MASK
             h = ((h ^ (h >> 31)) * 0xD6E8FEB86659FD93) & _MASK
             return (h >> 32) < limit
 
         return self.pieces.of_symbols(self.pieces.symbols(unit, skip))
 
-    def variant(self, key) -> int:
-        return 0 if key is None else xxhash.xxh64_intdigest(str(key), self.seed & _MASK) % VARIANTS
+    def occurrences(self, texts: list[str | None], keys: list, counts: list[int]) -> np.ndarray:
+        """A key for each unit of each text, never 0."""
+        of_text = np.array([xxhash.xxh64_intdigest((t or "") if k is None else str(k), self.seed & _MASK) for t, k in zip(texts, keys)], np.uint64)
+        ends = np.cumsum(counts)
+        place = np.arange(1, ends[-1] + 1) - np.repeat(ends - counts, counts)
+        h = (np.repeat(of_text, counts) ^ place.astype(np.uint64) * K1) * K2
+        h = (h ^ (h >> np.uint64(29))) * K3
+        return h ^ (h >> np.uint64(32)) | np.uint64(1)
 
     def encode(self, texts: list[str | None], keys: list | None = None) -> list[bytes]:
         """The ids of each text, as little-endian int32."""
-        variants = [self.variant(k) for k in keys] if keys is not None else [0] * len(texts)
+        if not texts:
+            return []
         split = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        for v, known in enumerate(self.known):
-            if sum(map(len, self.known)) > REMEMBERED:
-                known.clear()
-            new = set()
-            for u, w in zip(split, variants):
-                if w == v:
-                    new.update(u)
-            self._learn([u for u in new if u not in known], v)
-        out = []
-        for units, v in zip(split, variants):
-            known = self.known[v]
-            try:
-                out.append(b"".join(map(known.__getitem__, units)))
-            except KeyError:  # long units aren't remembered
-                out.append(b"".join([known[u] if u in known else np.array(self.alone(u, v), "<i4").tobytes() for u in units]))
-        return out
-
-    def _learn(self, units: list[str], variant: int) -> None:
-        units = sorted((u for u in units if len(u) <= 32), key=len)
-        at = 0
-        while at < len(units):
-            size = len(units[at])
-            stop = at
-            while stop < len(units) and stop - at < 8192 and len(units[stop]) <= size + 2:
-                stop += 1
-            part = units[at:stop]
-            self.known[variant].update(zip(part, self.pieces.many(part, self._key(variant), self.limit)))
-            at = stop
+        known = self.known[0]
+        if len(known) > REMEMBERED:
+            self._forget()
+        self._learn([u for u in set(chain.from_iterable(split)) if u not in known])
+        units = list(chain.from_iterable(split))
+        coded, counts = list(map(known.get, units)), list(map(len, split))
+        drawn = self.occurrences(texts, keys or [None] * len(texts), counts) if self.limit else np.zeros(len(units), np.uint64)
+        numbers = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+        for i in np.flatnonzero(numbers < 0).tolist():
+            coded[i] = np.array(self.alone(units[i], int(drawn[i])), "<i4").tobytes()
+        if self.limit:
+            again, size = self._dropped(numbers, drawn), np.array(self.size)
+            again = again[np.argsort(size[numbers[again]], kind="stable")]
+            for a, b in _runs(size[numbers[again]].tolist()):
+                part = again[a:b].tolist()
+                for i, ids in zip(part, self.pieces.many([units[i] for i in part], drawn[part], self.limit)):
+                    coded[i] = ids
+        ends = np.cumsum(counts).tolist()
+        return [b"".join(coded[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def _dropped(self, numbers: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """The occurrences of remembered units that skip a merge of the undropped segmentation."""
+        start, place, piece = np.array(self.start), np.frombuffer(self.place, np.uint64), np.frombuffer(self.piece, np.uint64)
+        out = [np.zeros(0, np.int64)]
+        for i in range(0, len(numbers), 1 << 14):
+            who = i + np.flatnonzero(numbers[i : i + (1 << 14)] >= 0)
+            first = start[numbers[who]]
+            n = start[numbers[who] + 1] - first
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            row = np.repeat(np.arange(len(who)), n)
+            hit = np.zeros(len(who), bool)
+            hit[row[skipped((drawn[who][row] ^ place[at]) + piece[at], self.limit)]] = True
+            out.append(who[hit])
+        return np.concatenate(out)
+
+    def _learn(self, units: list[str]) -> None:
+        units = sorted((u for u in units if len(u) <= LONGEST), key=len)
+        for a, b in _runs(list(map(len, units))):
+            part, merges = units[a:b], [(np.zeros(0, np.int64),) * 3]
+            self.known[0].update(zip(part, self.pieces.many(part, merges=merges)))
+            who, place, piece = map(np.concatenate, zip(*merges))
+            order = np.argsort(who, kind="stable")
+            self.number.update(zip(part, range(len(self.size), len(self.size) + len(part))))
+            self.size.extend(map(len, part))
+            self.start.frombytes((self.start[-1] + np.cumsum(np.bincount(who, minlength=len(part)))).tobytes())
+            self.place.frombytes((place[order].astype(np.uint64) * K1).tobytes())
+            self.piece.frombytes((piece[order].astype(np.uint64) * K2).tobytes())
+
+
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of sorted sizes that differ by 2 at most."""
+    at = 0
+    while at < len(sizes):
+        stop = at
+        while stop < len(sizes) and stop - at < 8192 and sizes[stop] <= sizes[at] + 2:
+            stop += 1
+        yield at, stop
+        at = stop
 
 
 @lru_cache(maxsize=2)

@@ -174,6 +174,23 @@ def test_pieces_against_library(spark, documents):
             assert np.frombuffer(known[u], "<i4").tolist() == drop.alone(u, v)
 
 
+def test_pieces_drop_by_occurrence():
+    """Each occurrence of a word draws for itself, and as an agenda of its own would."""
+    drop = pieces.Encoder(pieces.default_model(), rate=0.3)
+    texts, keys = [" ".join(["understanding"] * 400), " ".join(["understanding"] * 400), "some other words " * 40, None, "x" * 40, "a  b ▁ é" * 9], [1, 2, None, 3, 4, 5]
+    coded = drop.encode(texts, keys)
+    split = [pieces._UNIT.findall(" " + t) if t else [] for t in texts]
+    drawn = drop.occurrences(texts, keys, list(map(len, split)))
+    alone, at = [], 0
+    for units in split:
+        alone.append([tuple(drop.alone(u, int(k))) for u, k in zip(units, drawn[at : at + len(units)])])
+        at += len(units)
+    assert [np.frombuffer(c, "<i4").tolist() for c in coded] == [[i for ids in text for i in ids] for text in alone]
+    assert len(set(alone[0])) > 20 and alone[0] != alone[1]
+    changed = sum(ids != tuple(drop.alone(" understanding", 0)) for ids in alone[0])
+    assert 0.3 * 400 < changed < 400
+
+
 def test_pieces_and_counts_odd_rows(spark, odd):
     import sentencepiece
 
