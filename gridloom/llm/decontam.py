@@ -3,9 +3,11 @@
 1. Words are runs of letters and digits, lower-cased. Each position of a text is
    probed, by its 5-word shingle's hash, in a bitmap of the benchmark's shingles
    of fixed size; nearly all positions end there, in the scan's own stage.
-2. Where a shingle occurs in an item, the window of the item's number of words
-   that lies there as it does in the item is cut out. A window that shares no
-   shingle with an item has similarity 0 to it and needs no fingerprint.
+2. Every window of an item's number of words that covers a shingle of the item
+   is cut out if the shingles it shares with the item can weigh enough for
+   ``SIMILARITY``; no other window can reach it. For this the text is taken in
+   blocks of as many words as the item has: a window lies in the block where it
+   starts and the next.
 3. Windows and items get 64-bit SimHashes of their words. ``BLOCKS`` blocks of
    the fingerprint index the items: two fingerprints within ``RADIUS`` agree in
    at least one block, so joining on (size, block, value) finds all of them.
@@ -75,7 +77,9 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) ->
         .withColumn("w", F.size("words"))
         .withColumn("k", F.least("w", F.lit(SHINGLE)))
     )
-    parts = items.select("item_id", "w", "k", F.posexplode(F.transform(_shingles(F.col("words"), F.col("k")), lambda s: F.xxhash64(s))).alias("at", "h"))
+    # the least weight of an item's shingles that a window must share
+    need = SIMILARITY * _letters(_weighted(F.col("words"), F.col("k")))
+    parts = items.select("item_id", "w", "k", need.alias("need"), F.explode(F.transform(_shingles(F.col("words"), F.col("k")), lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(F.array_join(s, " ")).alias("weight")))).alias("part")).select("item_id", "w", "k", "need", "part.h", "part.weight")
     bit = lambda h: F.pmod(h, F.lit(BITMAP_LONGS * 64))
     # a bitmap of fixed size, and how many shingles there are
     cells = parts.groupBy("k", (bit(F.col("h")) / 64).cast("int").alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))).alias("bits"), F.count("*").alias("n")).collect()
@@ -98,11 +102,21 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) ->
         at = words.select("doc_id", "words", "size", F.explode(places).alias("pos"))
         at = at.withColumn("h", F.xxhash64(F.slice("words", F.col("pos"), k)))
         hit = at.where(F.getbit(F.get(table, (bit(F.col("h")) / 64).cast("int")), F.pmod("h", F.lit(64)).cast("int")) == 1)
-        cut = hit.join(few(parts.where(F.col("k") == k).select("h", "w", "at").distinct()), "h")
-        start = F.greatest(F.lit(1), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("w") + 1))
-        windows = cut.select("doc_id", start.alias("start"), "w", F.slice("words", start, F.col("w")).alias("window"))
+        w, block = F.col("w"), F.col("block")
+        cut = hit.join(few(parts.where(F.col("k") == k).drop("k").distinct()), "h").withColumn("pos", F.col("pos") - 1)
+        last = (F.col("pos") / w).cast("int")
+        cut = cut.withColumn("block", F.explode(F.sequence(F.greatest(last - 1, F.lit(0)), last)))
+        # rows that repeat an id are told apart by the words themselves
+        groups = cut.groupBy("doc_id", "item_id", "w", "need", "block", F.slice("words", block * w + 1, w * 2).alias("part")).agg(F.collect_set(F.struct("pos", "weight")).alias("hits"))
+        end = F.least(w - 1, F.size("part") - w)
+        # a text shorter than the item is a window itself
+        end = F.when(block == 0, F.greatest(end, F.lit(0))).otherwise(end)
+        shared = lambda s: F.aggregate("hits", F.lit(0), lambda t, h: t + F.when((h["pos"] >= s) & (h["pos"] <= s + w - k), h["weight"]).otherwise(0))
+        starts = F.filter(F.when(end >= 0, F.sequence(block * w, block * w + end)), lambda s: shared(s) >= F.col("need"))
+        start = F.col("start")
+        windows = groups.select("doc_id", "w", "block", "part", F.explode(starts).alias("start")).select("doc_id", (start + 1).alias("start"), "w", F.slice("part", start - block * w + 1, w).alias("window"))
         found = windows if found is None else found.union(windows)
-    windows = found.groupBy("doc_id", "start", "w", "window").agg(F.count("*").alias("anchors")).withColumn("fp", _simhash(F.col("window")))
+    windows = found.distinct().withColumn("fp", _simhash(F.col("window")))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     left = windows.withColumn("b", blocks).withColumn("value", _block(F.col("fp"), F.col("b")))
     right = items.withColumn("ip", _simhash(F.col("words"))).withColumn("b", blocks).select("item_id", "w", "k", F.col("words").alias("item"), "ip", "b", _block(F.col("ip"), F.col("b")).alias("value"))

@@ -272,6 +272,39 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontam.without_leaks(spark, d.where("doc_id is not null"), b).where("doc_id < 20").collect()) == sorted(set(docs) - {i for i, _ in want})
 
 
+def test_decontamination_edited(spark):
+    """Items with words put in, left out and replaced, against all windows of their size."""
+    random = np.random.default_rng(8)
+    words = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in random.integers(1, 13, 4000)]
+    make = lambda n: [str(x) for x in random.choice(words, n)]
+    items = [make(int(n)) for n in random.integers(12, 61, 30)]
+    docs = {}
+    for i in range(240):
+        item = items[i % 30].copy()
+        for _ in range(random.integers(1, 4)):
+            at, kind = int(random.integers(len(item))), random.integers(3)
+            item[at : at + (kind > 0)] = make(1) if kind < 2 else []
+        docs[i] = make(int(random.integers(0, 40))) + item + make(int(random.integers(0, 40)))
+    heavy = ["incomprehensible" + c for c in "abcdefghijkl"]
+    items.append(heavy + [f"w{i}" for i in range(48)])
+    docs[900] = make(9) + heavy[2:] + [f"w{i}" for i in range(48)] + make(9)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontam.matches(spark, d, b).collect()}
+    sh = lambda x: {" ".join(x[j : j + 5]) for j in range(len(x) - 4)}
+    weigh = lambda s: sum(map(len, s))
+    want = {}
+    for i, w in docs.items():
+        for k, item in enumerate(items):
+            if sh(w) & sh(item):
+                windows = [sh(w[j : j + len(item)]) for j in range(max(1, len(w) - len(item) + 1))]
+                best = max((weigh(x & sh(item)) / weigh(x | sh(item)), -j) for j, x in enumerate(windows))
+                if best[0] >= 0.75:
+                    want[i, k] = best
+    assert len(want) > 60 and got.keys() == want.keys()
+    assert all(math.isclose(got[x][0], want[x][0]) for x in want)
+
+
 def test_pipeline(spark, tmp_path):
     corpus = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
