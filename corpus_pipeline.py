@@ -15,7 +15,7 @@ _LANG, _SCORE = "_gridloom_lang", "_gridloom_score"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in none of the learned languages."""
-    told = langid.identify(docs, langid.learn(docs), lang_out=_LANG, score_out=_SCORE)
+    told = langid.identify(docs, langid.learn(docs), lang_out=_LANG, score_out=_SCORE, reject=True)
     return told.where(F.col(_LANG) != "und").select(docs.columns)
 
 

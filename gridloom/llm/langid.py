@@ -34,7 +34,7 @@ TRAIN_ROWS = 128
 #: Letters in a block, and letters of a text normalised at once.
 BLOCK = 256
 PIECE = 1_000_000
-#: A text of at least this many letters and spaces whose phrases in the best
+#: With ``reject``, a text of at least this many letters and spaces whose phrases in the best
 #: language are shorter than this on average is in none of the languages.
 REJECT_CHARS, REJECT_PHRASE = 40, 1.7
 
@@ -160,18 +160,18 @@ class Parser:
             at = got >> 1
         return count
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None], reject: bool = False) -> list[tuple[str, float]]:
         out, waiting, size = [], [], 0
         for text in texts:
             blocks = self.blocks(text)
             waiting.append(blocks)
             size += len(blocks[0])
             if size >= 4096:
-                out += self._decide(waiting)
+                out += self._decide(waiting, reject)
                 waiting, size = [], 0
-        return out + self._decide(waiting)
+        return out + self._decide(waiting, reject)
 
-    def _decide(self, waiting: list) -> list[tuple[str, float]]:
+    def _decide(self, waiting: list, reject: bool) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(waiting)
         blocks = np.concatenate([w[0] for w in waiting]) if waiting else np.zeros((0, BLOCK), np.uint16)
@@ -188,7 +188,7 @@ class Parser:
                 continue
             rate = phrases * self.bits / n
             best = int(np.argmin(rate))
-            if n >= REJECT_CHARS and n / phrases[best] < REJECT_PHRASE:
+            if reject and n >= REJECT_CHARS and n / phrases[best] < REJECT_PHRASE:
                 out.append(("und", 0.0))
                 continue
             # posterior of the codes' lengths, over at most 64 letters
@@ -201,9 +201,10 @@ def _parser(trained: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(trained))
 
 
-def identify(documents: DataFrame, trained: dict[str, str], text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def identify(documents: DataFrame, trained: dict[str, str], text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", reject: bool = False) -> DataFrame:
     """``documents`` with the predicted language and its score. A column of
-    ``documents`` that has one of these two names is replaced."""
+    ``documents`` that has one of these two names is replaced. With ``reject``,
+    long texts in none of the languages are ``und`` with score 0, too."""
     passed = documents.select([F.col(f"`{c}`") for c in documents.columns if c not in (lang_out, score_out)])
     schema = T.StructType([*passed.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     model = passed.sparkSession.sparkContext.broadcast(tuple(trained.items()))
@@ -214,7 +215,7 @@ def identify(documents: DataFrame, trained: dict[str, str], text_col: str = "tex
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                got = parser.predict(part.column(index).to_pylist())
+                got = parser.predict(part.column(index).to_pylist(), reject)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                     names=[*part.schema.names, lang_out, score_out],

@@ -47,6 +47,17 @@ def test_language_odd_rows(spark, odd, documents):
     assert {r["lang_pred"] for r in langid.op1(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_rejects_on_request(spark, documents):
+    """Long texts that are like none of the languages get the best one, unless they are to be rejected."""
+    trained = langid.learn(documents)
+    strange = spark.createDataFrame([(1, "漢字仮名交文" * 60), (2, "")], "doc_id long, text string")
+    told = {r["doc_id"]: r for r in langid.identify(strange, trained).collect()}
+    assert told[1]["lang_pred"] in trained and 0 < told[1]["score"] <= 1 and told[2]["lang_pred"] == "und"
+    assert {r["lang_pred"] for r in langid.identify(strange, trained, reject=True).collect()} == {"und"}
+    rows = langid.op1(documents.select("doc_id", "text", "lang").union(strange.selectExpr("doc_id + 10000000", "text", "cast(null as string)"))).where("doc_id = 10000001").collect()
+    assert rows[0]["lang_pred"] in trained and rows[0]["score"] > 0
+
+
 def _sets(rows):
     out = {}
     for i, t in rows:
