@@ -37,7 +37,7 @@ def _stars_only(links: DataFrame) -> bool:
 
 
 def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int = 60, rounds: int | None = None) -> DataFrame:
-    """links: two columns of one integer type. Returns (node, component), only
+    """links: two columns of one ordered type. Returns (node, component), only
     for nodes with a link to another node; component is the smallest node
     reachable. Self links, repeated links and links with a null are ignored.
 

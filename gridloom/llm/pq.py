@@ -1,6 +1,7 @@
 """Near-duplicate vectors by an inverted index with product quantisation.
 
-Vectors are scaled to length 1; equal ones are one class. A coarse codebook
+Vectors are scaled to length 1; equal ones of a label are one class, known by a
+hash of both; its smallest id only names it in the result. A coarse codebook
 assigns each class to one inverted list; its residual is coded by one byte a
 subspace, and the residual's coding error is kept. A query probes every list
 whose cell can hold a vector within the radius that the cosine allows (the
@@ -145,10 +146,11 @@ def op6(spark: SparkSession, embeddings: DataFrame, cosine: float = COSINE) -> D
     good = F.expr("key is not null and label is not null and vec_id is not null")
     narrow = keyed.select("vec_id", "label", "key")
     classes = narrow.where(good).groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    vectors = keyed.where(good).select("vec_id", "label", "key", "u").join(classes, ["label", "key"]).where("vec_id = rep").dropDuplicates(["label", "rep"]).select("label", "key", "rep", "copies", "u")
+    classes = classes.withColumn("cid", F.md5(F.concat(F.col("label").cast("string"), F.lit("|"), F.hex("key"))))
+    vectors = keyed.where(good).select("vec_id", "label", "key", "u").join(classes, ["label", "key"]).where("vec_id = rep").dropDuplicates(["label", "key"]).select("label", "key", "cid", "rep", "copies", "u")
     vectors = scratch.keep(vectors, "vectors")
 
-    sample = vectors.select("rep", "u").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    sample = vectors.select("rep", "cid", "u").orderBy(F.xxhash64("rep"), "rep", "cid").limit(SAMPLE).collect()
     fitted: dict[int, list] = {}
     for r in sample:
         fitted.setdefault(len(r["u"]), []).append(r["u"])
@@ -172,8 +174,8 @@ def op6(spark: SparkSession, embeddings: DataFrame, cosine: float = COSINE) -> D
                 codes, error = ix.coded(x, own)
                 part = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("label"), pa.array(np.full(len(at), ix.dim), pa.int32()), pa.array(own, pa.int32()), part.column("rep"), part.column("copies"), part.column("u"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64())],
-                    names=["label", "dim", "list", "rep", "copies", "u", "codes", "error"],
+                    [part.column("label"), pa.array(np.full(len(at), ix.dim), pa.int32()), pa.array(own, pa.int32()), part.column("cid"), part.column("rep"), part.column("copies"), part.column("u"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64())],
+                    names=["label", "dim", "list", "cid", "rep", "copies", "u", "codes", "error"],
                 )
 
     def ask(batches):
@@ -183,34 +185,37 @@ def op6(spark: SparkSession, embeddings: DataFrame, cosine: float = COSINE) -> D
                 for ix, at, x in groups(part):
                     who, where = np.nonzero(ix.probes(x, reach))
                     got = part.take(pa.array(at[who]))
-                    yield pa.RecordBatch.from_arrays([got.column("label"), pa.array(np.full(len(who), ix.dim), pa.int32()), pa.array(where, pa.int32()), got.column("rep"), got.column("u")], names=["label", "dim", "list", "rep", "u"])
+                    yield pa.RecordBatch.from_arrays([got.column("label"), pa.array(np.full(len(who), ix.dim), pa.int32()), pa.array(where, pa.int32()), got.column("cid"), got.column("rep"), got.column("u")], names=["label", "dim", "list", "cid", "rep", "u"])
 
     place = ["label", "dim", "list"]
-    base = vectors.select("label", "rep", "copies", "u")
-    stored = base.mapInArrow(store, f"label {label}, dim int, list int, rep long, copies long, u array<double>, codes binary, error double")
-    asked = base.select("label", "rep", "u").mapInArrow(ask, f"label {label}, dim int, list int, rep long, u array<double>")
+    base = vectors.select("label", "cid", "rep", "copies", "u")
+    stored = base.mapInArrow(store, f"label {label}, dim int, list int, cid string, rep long, copies long, u array<double>, codes binary, error double")
+    asked = base.select("label", "cid", "rep", "u").mapInArrow(ask, f"label {label}, dim int, list int, cid string, rep long, u array<double>")
     blocks = stored.groupBy(place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     queries = asked.groupBy(place).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq"))
     sizes = scratch.keep(blocks.join(queries, place), "sizes")
-    stored = stored.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    asked = asked.join(sizes, place).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("nq")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    stored = stored.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    asked = asked.join(sizes, place).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("nq")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     deal = [*place, "block", "part"]
     stored, asked = (df.drop("nb", "nq").select([F.col(c).alias(c) for c in df.columns if c not in ("nb", "nq")]) for df in (stored, asked))
 
     def compare(q: pa.Table, s: pa.Table) -> pa.Table:
         counts, edges = {}, ([], [])
+        # the classes of both sides, by their place among them
+        cids, first, at = np.unique([*q.column("cid").to_pylist(), *s.column("cid").to_pylist()], return_index=True, return_inverse=True)
+        reps = np.concatenate([t.column("rep").to_numpy() for t in (q, s)])[first].tolist()
+        xr, yr = at[: q.num_rows], at[q.num_rows :]
         if q.num_rows and s.num_rows:
             x, y = (np.array(t.column("u").to_pylist()) for t in (q, s))
-            xr, yr = (t.column("rep").to_numpy() for t in (q, s))
             copies, error = s.column("copies").to_numpy(), s.column("error").to_numpy()
             ix = index.value.get(x.shape[1])
             codes = np.array([np.frombuffer(c, np.uint8) for c in s.column("codes").to_pylist()])
-            at = s.column("list")[0].as_py()
+            place = s.column("list")[0].as_py()
             for i in range(0, len(x), 256):
                 if ix is None:
                     a, b = (m.ravel() for m in np.indices((len(x[i : i + 256]), len(y))))
                 else:
-                    a, b = np.nonzero(ix.distances(x[i : i + 256], at, codes) - error <= reach)
+                    a, b = np.nonzero(ix.distances(x[i : i + 256], place, codes) - error <= reach)
                 cos = np.concatenate([np.einsum("ij,ij->i", x[i + a[k : k + 65536]], y[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0)])
                 hit = (cos >= cosine) & (xr[i + a] != yr[b])
                 a, b = xr[i + a[hit]], yr[b[hit]]
@@ -223,15 +228,18 @@ def op6(spark: SparkSession, embeddings: DataFrame, cosine: float = COSINE) -> D
                     edges[1].append(v)
         u, v = _forest(np.concatenate(edges[0]), np.concatenate(edges[1])) if edges[0] else (np.zeros(0, np.int64),) * 2
         n = len(counts)
-        return pa.table({"a": pa.array([*counts, *u.tolist()], pa.int64()), "b": pa.array([None] * n + v.tolist(), pa.int64()), "n": pa.array([*counts.values(), *[0] * len(u)], pa.int64())})
+        a, b = [*counts, *u.tolist()], v.tolist()
+        return pa.table({"a": pa.array([cids[i] for i in a], pa.string()), "a_rep": pa.array([reps[i] for i in a], pa.int64()), "b": pa.array([None] * n + [cids[i] for i in b], pa.string()), "b_rep": pa.array([None] * n + [reps[i] for i in b], pa.int64()), "n": pa.array([*counts.values(), *[0] * len(u)], pa.int64())})
 
-    found = scratch.keep(asked.groupBy(deal).cogroup(stored.groupBy(deal)).applyInArrow(compare, "a long, b long, n long"), "found", large=True)
+    found = scratch.keep(asked.groupBy(deal).cogroup(stored.groupBy(deal)).applyInArrow(compare, "a string, a_rep long, b string, b_rep long, n long"), "found", large=True)
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("b is not null").select("a", "b"), scratch)
+    # nodes in the order of their ids, so that a component has its smallest
+    node = lambda c: F.struct(F.col(f"{c}_rep").alias("rep"), F.col(c).alias("cid")).alias(c)
+    parts = connected_components(found.where("b is not null").select(node("a"), node("b")), scratch).select(F.col("node.cid").alias("cid"), F.col("component.rep").alias("component"))
     told = (
-        vectors.select("label", "key", "rep", "copies")
-        .join(counts.withColumnRenamed("a", "rep"), "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        vectors.select("label", "key", "cid", "rep", "copies")
+        .join(counts.withColumnRenamed("a", "cid"), "cid", "left")
+        .join(parts, "cid", "left")
         .select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     linked = narrow.where(good).join(told, ["label", "key"]).select("vec_id", "n_links", "component_id")

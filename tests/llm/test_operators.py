@@ -244,6 +244,26 @@ def test_vectors(spark):
         assert got[i]["component_id"] == min(seen) and got[i]["kept"] == (min(seen) == i)
 
 
+def test_vectors_repeated_ids(spark):
+    """Rows that repeat an id, in a label or across labels, are vectors each."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.1 for x in v]
+    rows = [(1, a, 0), (1, b, 0), (1, b, 1), (2, near(a), 0), (3, near(b), 0), (4, b, 0), (5, near(b), 1), (6, near(b), 1), (7, near(c), 0), (1, a, 0), (1, a, 2), (8, c, 0), (8, near(a), 2)]
+    got = collections.Counter(tuple(r) for r in pq.op6(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    near = [{j for j in range(len(rows)) if j != i and rows[j][2] == rows[i][2] and unit[i] @ unit[j] >= 0.93} for i in range(len(rows))]
+    want = collections.Counter()
+    for i, (key, _, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        low = min(rows[j][0] for j in seen)
+        want[key, len(near[i]), low, low == key] += 1
+    assert got == want
+
+
 PAGE = """<html><head><title>T</title></head><body><div class="menu"><a href=x>Home page of it</a></div><header><p>Top notice, site, here, with words enough.</p></header>
 <div id="content"><h1>Title &amp; more</h1><p>First  paragraph,
 with commas, and length enough to score well in any case.<p>Second one, <b>bold</b>, also long enough, to count as text here.</div>
