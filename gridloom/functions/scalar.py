@@ -315,8 +315,12 @@ put("VALUE", 1, 1, lambda v: number(text(v)) if v.kind == "s" else number(v))
 def _search(a: Value, s: Value, i: Value | None = None) -> Value:
     """FIND without case and with wildcards, which become a regular expression."""
     a, s, i = text(a), text(s), number(i if i is not None else literal(1.0))
-    pattern = F.regexp_replace(F.lower(a.col), r"([\\^$.|+()\[\]{}])", r"\\$1")
-    pattern = F.replace(F.replace(pattern, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*?"))
+    pattern = F.lower(a.col)
+    for mark, kept in (("~~", "\x03"), ("~*", "\x01"), ("~?", "\x02")):
+        pattern = F.replace(pattern, F.lit(mark), F.lit(kept))
+    pattern = F.regexp_replace(pattern, r"([\\^$.|+()\[\]{}])", r"\\$1")
+    for mark, meant in (("?", "."), ("*", ".*?"), ("\x01", r"\*"), ("\x02", r"\?"), ("\x03", "~")):
+        pattern = F.replace(pattern, F.lit(mark), F.lit(meant))
     rest = F.substr(F.lower(s.col), _int(i.col), F.length(s.col))
     hit = F.regexp_instr(rest, F.concat(F.lit("(?s)"), pattern))
     return guarded((hit + i.col - 1).cast("double"), "n", a.err, s.err, i.err, error_if((i.col < 1) | (hit == 0), "#VALUE!"))
@@ -361,8 +365,8 @@ def _beside(before: bool):
     return build
 
 
-put("TEXTBEFORE", 2, 6, _beside(True))
-put("TEXTAFTER", 2, 6, _beside(False))
+put("TEXTBEFORE", 2, 3, _beside(True))
+put("TEXTAFTER", 2, 3, _beside(False))
 
 
 def _fixed(x: Value, digits: Value | None = None, plain: Value | None = None) -> Value:
@@ -395,8 +399,8 @@ def from_serial(n: Column) -> Column:
 
 
 _BAD_DATE = (lambda x, *r: x < 0, "#NUM!")
-for _name, _f in {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth}.items():
-    _n(_name, 1, 1, lambda x, f=_f: f(from_serial(x)).cast("double"), _BAD_DATE)
+for _name, (_f, _zero) in {"YEAR": (F.year, 1900.0), "MONTH": (F.month, 1.0), "DAY": (F.dayofmonth, 0.0)}.items():
+    _n(_name, 1, 1, lambda x, f=_f, z=_zero: F.when(F.floor(x) == 0, z).otherwise(f(from_serial(x)).cast("double")), _BAD_DATE)
 _seconds = lambda x: F.floor((x - F.floor(x)) * 86400 + 0.5)
 _n("HOUR", 1, 1, lambda x: _dbl(F.floor(_seconds(x) / 3600) % 24), _BAD_DATE)
 _n("MINUTE", 1, 1, lambda x: _dbl(F.floor(_seconds(x) / 60) % 60), _BAD_DATE)
@@ -412,10 +416,22 @@ def _first_of(year: Column, month: Column) -> Column:
 
 _n("DATE", 3, 3, lambda y, m, d: to_serial(_first_of(_trunc(y), _trunc(m))) + _trunc(d) - 1, (lambda y, m, d: (y < 0) | (y >= 10000), "#NUM!"))
 _n("DAYS", 2, 2, lambda a, b: _trunc(a) - _trunc(b))
-_n("WEEKDAY", 1, 2, lambda x, t: F.when(t == 2, F.pmod(F.floor(x) - 2, F.lit(7)) + 1).when(t == 3, F.pmod(F.floor(x) - 2, F.lit(7))).otherwise(F.pmod(F.floor(x) - 1, F.lit(7)) + 1).cast("double"), _BAD_DATE, (lambda x, t: ~t.isin(1.0, 2.0, 3.0), "#NUM!"), defaults=(1,))
+def _week_start(kind: Column) -> Column:
+    """The first day of a week, Sunday being 0, by the number of the system."""
+    return F.when(kind.isin(1.0, 17.0), 0.0).when(kind.isin(2.0, 3.0), 1.0).otherwise(kind - 10)
+
+
+_n("WEEKDAY", 1, 2, lambda x, t: (F.pmod(F.floor(x) - 1 - _week_start(_trunc(t)), F.lit(7.0)) + F.when(_trunc(t) == 3, 0.0).otherwise(1.0)), _BAD_DATE, (lambda x, t: ~_trunc(t).isin(1.0, 2.0, 3.0, *map(float, range(11, 18))), "#NUM!"), defaults=(1,))
 _n("EDATE", 2, 2, lambda x, m: to_serial(F.add_months(from_serial(x), _int(m))), _BAD_DATE)
 _n("EOMONTH", 2, 2, lambda x, m: to_serial(F.last_day(F.add_months(from_serial(x), _int(m)))), _BAD_DATE)
-_n("WEEKNUM", 1, 2, lambda x, t: F.when(t == 21, F.weekofyear(from_serial(x))).otherwise(F.floor((F.dayofyear(from_serial(x)) - 1 + F.pmod(F.floor(x) - F.dayofyear(from_serial(x)) + 1 - F.when(t == 2, 2).otherwise(1), F.lit(7))) / 7) + 1).cast("double"), _BAD_DATE, defaults=(1,))
+def _weeknum(x, t):
+    day = from_serial(x)
+    january = to_serial(F.make_date(F.when(F.floor(x) == 0, 1900).otherwise(F.year(day)), F.lit(1), F.lit(1)))
+    own = F.floor((F.floor(x) - january + F.pmod(january - 1 - _week_start(_trunc(t)), F.lit(7.0))) / 7) + 1
+    return F.when(_trunc(t) == 21, F.weekofyear(day)).otherwise(own).cast("double")
+
+
+_n("WEEKNUM", 1, 2, _weeknum, _BAD_DATE, (lambda x, t: ~_trunc(t).isin(1.0, 2.0, 21.0, *map(float, range(11, 18))), "#NUM!"), defaults=(1,))
 
 
 def _days360(a, b, method):
@@ -506,7 +522,13 @@ _ZERO_TERM = (lambda r, n, *x: n == 0, "#NUM!")
 _n("PMT", 3, 5, _pmt, _ZERO_TERM, defaults=(0, 0))
 _n("FV", 3, 5, _fv, defaults=(0, 0))
 _n("PV", 3, 5, _pv, defaults=(0, 0))
-_n("NPER", 3, 5, lambda r, p, pv, fv, t: F.when(r == 0, F.try_divide(-(pv + fv), p)).otherwise(F.try_divide(F.ln(F.try_divide(p * (1 + r * t) - fv * r, pv * r + p * (1 + r * t))), F.ln(1 + r))), defaults=(0, 0))
+def _nper(r, p, pv, fv, t):
+    due = p * (1 + r * t)
+    ratio = F.try_divide(due - fv * r, pv * r + due)
+    return F.when(r == 0, F.try_divide(-(pv + fv), p)).otherwise(F.try_divide(F.ln(F.when(ratio > 0, ratio)), F.ln(1 + r)))
+
+
+_n("NPER", 3, 5, _nper, (lambda *a: _nper(*a).isNull(), "#NUM!"), defaults=(0, 0))
 _bad_per = (lambda r, per, n, *x: (per < 1) | (per > n), "#NUM!")
 _n("IPMT", 4, 6, _ipmt, _bad_per, defaults=(0, 0))
 _n("PPMT", 4, 6, lambda r, per, n, pv, fv, t: _pmt(r, n, pv, fv, t) - _ipmt(r, per, n, pv, fv, t), _bad_per, defaults=(0, 0))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+#: Fixed value: how a text spells a number.
 NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*%?\s*$"
 
 
@@ -59,11 +60,12 @@ def number(v: Value) -> Value:
 
 def number_text(x: Column) -> Column:
     """At most 15 significant digits; plain from 1e-4 to 1e21, else scientific."""
-    short = F.format_string("%.15g", x)
-    plain = F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.regexp_replace(F.format_string("%.15f", F.round(x, 14)), r"\.?0+$", ""))
-    size = F.abs(x)
-    whole = F.when((size < 1e15) & (size >= 1e-4), plain).otherwise(F.regexp_replace(short, r"\.?0*(e)", "E"))
-    return F.when(x == 0, "0").otherwise(whole)
+    size, digits = F.abs(x), F.format_string("%.15g", x)
+    short = F.when(F.contains(digits, F.lit(".")), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
+    long = F.format_string("%.14e", x)
+    whole = long.cast("double").cast("decimal(38,0)").cast("string")
+    power = F.concat(F.regexp_replace(F.substring_index(long, "e", 1), r"\.?0+$", ""), F.lit("E"), F.substring_index(long, "e", -1))
+    return F.when(x == 0, "0").when((size >= 1e-4) & (size < 1e15), short).when((size >= 1e15) & (size < 1e21), whole).otherwise(power)
 
 
 def text(v: Value) -> Value:

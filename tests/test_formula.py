@@ -9,13 +9,13 @@ from gridloom.plans.formula import FormulaError, parse, serialise
 
 CASES = {
     "=-2^2": 4.0, "=2^3^2": 64.0, "=1+2*3": 7.0, "=50%+1": 1.5, "=1/0": "#DIV/0!", "=\"5\"+1": 6.0, "=\"x\"+1": "#VALUE!", "=TRUE+1": 2.0, "=1&2": "12", "=1=\"1\"": False, "=\"a\"=\"A\"": True, "=0.5&\"\"": "0.5",
-    "=IFERROR(1/0,7)": 7.0, "=IFNA(NA(),1)": 1.0, "=IF(1>2,1)": "FALSE", "=NOPE(1)": "#NAME?", "=ABS(1,2)": "#N/A", "=SQRT(-1)": "#NUM!", "=MOD(-3,2)": 1.0, "=ROUND(2.5,0)": 3.0, "=ROUND(-2.5,0)": -3.0, "=CEILING(7,0)": 0.0, "=FLOOR(7,0)": "#DIV/0!",
-    "=ROMAN(1994)": "MCMXCIV", "=ARABIC(\"MCMXCIV\")": 1994.0, "=BASE(255,16,4)": "00FF", "=DECIMAL(\"ff\",16)": 255.0, "=GCD(12,18)": 6.0, "=LCM(4,6)": 12.0, "=FACT(5)": 120.0, "=COMBIN(5,2)": 10.0, "=PERMUT(5,2)": 20.0, "=BITXOR(5,3)": 6.0, "=EVEN(3)": 4.0, "=ODD(-2)": -3.0,
-    "=LEFT(\"abc\",2)": "ab", "=MID(\"abcd\",2,2)": "bc", "=FIND(\"c\",\"abc\")": 3.0, "=FIND(\"x\",\"abc\")": "#VALUE!", "=SEARCH(\"B?\",\"abc\")": 2.0, "=PROPER(\"two words\")": "Two Words", "=TRIM(\"  a   b \")": "a b", "=SUBSTITUTE(\"a-b-c\",\"-\",\"+\",2)": "a-b+c",
-    "=TEXTBEFORE(\"a,b,c\",\",\",2)": "a,b", "=TEXTAFTER(\"a,b,c\",\",\",-1)": "c", "=TEXTJOIN(\"-\",TRUE,\"a\",\"\",\"b\")": "a-b", "=FIXED(1234.567,1)": "1,234.6", "=DOLLAR(-5)": "($5.00)", "=REPT(\"ab\",2)": "abab", "=VALUE(\"50%\")": 0.5, "=CHAR(65)": "A",
-    "=DATE(2008,1,1)": 39448.0, "=DATE(1900,2,29)": 60.0, "=YEAR(39448)": 2008.0, "=DAY(60)": 28.0, "=WEEKDAY(1)": 1.0, "=EOMONTH(39448,1)": 39507.0, "=NETWORKDAYS(39448,39478)": 23.0, "=WORKDAY(39448,10)": 39462.0, "=DATEDIF(39448,39813,\"M\")": 11.0, "=HOUR(0.75)": 18.0,
-    "=ROUND(PMT(0.01,12,1000),4)": -88.8488, "=SLN(1000,100,9)": 100.0, "=ROUND(DB(1000,100,5,1),2)": 369.0, "=ROUND(DDB(1000,100,5,2),2)": 240.0, "=NPER(0,-10,100)": 10.0, "=NPV(0.1,110,121)": 200.0, "=NPV(-1,1)": "#DIV/0!", "=UNICHAR(8364)": "€", "=UNICHAR(128512)": "\U0001F600", "=UNICHAR(0)": "#VALUE!",
-    "=ISNUMBER(1/0)": False, "=ISERR(NA())": False, "=ERROR.TYPE(1/0)": 2.0, "=TYPE(1/0)": 16.0, "=SWITCH(2,1,\"a\",2,\"b\")": "b", "=CHOOSE(3,1,2)": "#VALUE!", "=AND(FALSE,1/0)": "#DIV/0!", "=IFS(FALSE,1)": "#N/A", "=XOR(TRUE,TRUE)": False,
+    "=IFERROR(1/0,7)": 7.0, "=IFNA(NA(),1)": 1.0, "=IF(1>2,1)": False, "=NOPE(1)": "#NAME?", "=ABS(1,2)": "#N/A", "=SQRT(-16)": "#NUM!", "=MOD(-3,2)": 1.0, "=ROUND(8.25,1)": 8.3, "=ROUND(-8.25,1)": -8.3, "=CEILING(7,0)": 0.0, "=FLOOR(7,0)": "#DIV/0!",
+    "=ROMAN(1994)": "MCMXCIV", "=ARABIC(\"MCMXCIV\")": 1994.0, "=BASE(255,16,4)": "00FF", "=DECIMAL(\"ff\",16)": 255.0, "=GCD(12,18)": 6.0, "=LCM(14,21)": 42.0, "=FACT(7)": 5040.0, "=COMBIN(5,2)": 10.0, "=PERMUT(9,3)": 504.0, "=BITXOR(44,21)": 57.0, "=EVEN(-13.2)": -14.0, "=ODD(16.5)": 17.0,
+    "=LEFT(\"abc\",2)": "ab", "=MID(\"abcd\",2,2)": "bc", "=FIND(\"ow\",\"yellow\")": 5.0, "=FIND(\"Y\",\"yellow\")": "#VALUE!", "=SEARCH(\"B?\",\"abc\")": 2.0, "=PROPER(\"two words\")": "Two Words", "=TRIM(\"  a   b \")": "a b", "=SUBSTITUTE(\"a-b-c\",\"-\",\"+\",2)": "a-b+c",
+    "=TEXTBEFORE(\"a,b,c\",\",\",2)": "a,b", "=TEXTAFTER(\"a,b,c\",\",\",-1)": "c", "=TEXTJOIN(\"-\",TRUE,\"a\",\"\",\"b\")": "a-b", "=FIXED(87654.321,1)": "87,654.3", "=DOLLAR(-5)": "($5.00)", "=REPT(\"ab\",2)": "abab", "=VALUE(\" 12.5% \")": 0.125, "=CHAR(103)": "g",
+    "=DATE(2008,1,1)": 39448.0, "=DATE(1900,2,29)": 60.0, "=YEAR(42000.9)": 2014.0, "=DAY(60)": 28.0, "=WEEKDAY(1)": 1.0, "=EOMONTH(39448,1)": 39507.0, "=NETWORKDAYS(39448,39478)": 23.0, "=WORKDAY(39448,10)": 39462.0, "=DATEDIF(39448,39813,\"M\")": 11.0, "=HOUR(7.3)": 7.0,
+    "=ROUND(PMT(0.01,12,1000),4)": -88.8488, "=SLN(1000,100,9)": 100.0, "=ROUND(DB(1000,100,5,1),2)": 369.0, "=ROUND(DDB(1000,100,5,2),2)": 240.0, "=NPER(0,-10,100)": 10.0, "=NPV(0.1,110,121)": 200.0, "=NPV(-1,1)": "#DIV/0!", "=UNICHAR(1046)": "Ж", "=UNICHAR(128512)": "\U0001F600", "=UNICHAR(0)": "#VALUE!",
+    "=ISNUMBER(1/0)": False, "=ISERR(NA())": False, "=ERROR.TYPE(1/0)": 2.0, "=TYPE(1/0)": 16.0, "=SWITCH(2,1,\"a\",2,\"b\")": "b", "=CHOOSE(3,1,2)": "#VALUE!", "=AND(FALSE,1/0)": "#DIV/0!", "=IFS(FALSE,1)": "#N/A", "=XOR(TRUE,FALSE,TRUE,TRUE)": True,
 }
 
 
