@@ -320,7 +320,13 @@ class MeasureCompiler(Compiler):
         super().__init__(columns, *args, **kw)
         self.rows = Compiler(columns, *args, **kw)
 
+    def _aggregates(self, t) -> bool:
+        own = t[0] == "call" and t[1] in LIBRARY and LIBRARY[t[1]].mode == "range" and t[1] not in _SPREADING and self.holds_column(t)
+        return own or any(map(self._aggregates, self._parts(t)))
+
     def _range(self, t) -> Value:
+        if self._aggregates(t):
+            raise ValueError("an aggregate inside a measure's range: make it a measure of its own")
         got = self.rows.of(t)
         if isinstance(got, Block):
             raise ValueError("an array inside a measure's range")

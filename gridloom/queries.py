@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import families
 from .operators.table import Table, sequence
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = dict(families.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(families.ORACLE_SQL)
 
 
 def _query(sql: str | None = None):

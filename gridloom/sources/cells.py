@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CELLS = "book string, sheet string, row int, column int, content string"
-VALUES = "book string, sheet string, row int, column int, kind string, n double, s string, b boolean, changed boolean"
+VALUES = "book string, sheet string, row int, column int, kind string, n double, s string, b boolean, is_formula boolean"
 _BOOK = "book string, sheets array<struct<name:string,cells:map<string,string>>>, names array<struct<name:string,meaning:string>>"
 
 
@@ -40,26 +40,45 @@ def laid_out(df: DataFrame, book: Column | str, row: Column | str, columns: list
 
 
 def evaluated(cells: DataFrame, macros: dict | None = None) -> DataFrame:
-    """The values of all cells, spilled ones included. A workbook is held by one
-    task; a table as large as a workbook can be belongs in ``Table`` instead."""
+    """The values of all cells, spilled ones included. Each workbook's cells come
+    together, one workbook after the other; one is held at a time. A table as
+    large as no workbook can be belongs in ``Table`` instead."""
 
-    def run(group):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
         from gridloom.kernel.cells import Err
         from gridloom.operators.workbook import Workbook
 
-        name = group["book"].iloc[0]
-        book = Workbook(sorted(set(group["sheet"])), macros)
-        book.set_many({(s, int(r), int(c)): x for s, r, c, x in zip(group["sheet"], group["row"], group["column"], group["content"])})
-        rows = []
-        for (s, r, c), x in sorted(book.values.items(), key=lambda kv: kv[0]):
-            kind = "error" if isinstance(x, Err) else "logical" if isinstance(x, bool) else "text" if isinstance(x, str) else "number"
-            rows.append((name, s, r, c, kind, float(x) if kind == "number" else None, x.code if kind == "error" else x if kind == "text" else None, x if kind == "logical" else None, book.formula(s, r, c) is not None))
-        names = ["book", "sheet", "row", "column", "kind", "n", "s", "b", "changed"]
-        return pd.DataFrame({k: pd.Series([x[i] for x in rows], dtype={"n": "float64", "row": "int32", "column": "int32"}.get(k, "object")) for i, k in enumerate(names)})
-
-    return cells.groupBy("book").applyInPandas(run, VALUES).withColumnRenamed("changed", "is_formula")
+        names = VALUES.replace(",", "").split()[::2]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.bool_()]
+
+        def values(name, contents):
+            book = Workbook(sorted({k[0] for k in contents}), macros)
+            book.set_many(contents)
+            for (s, r, c), x in sorted(book.values.items()):
+                kind = "error" if isinstance(x, Err) else "logical" if isinstance(x, bool) else "text" if isinstance(x, str) else "number"
+                yield name, s, r, c, kind, float(x) if kind == "number" else None, x.code if kind == "error" else x if kind == "text" else None, x if kind == "logical" else None, book.formula(s, r, c) is not None
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        now, contents, out = None, {}, []
+        for batch in batches:
+            for name, s, r, c, x in zip(*(col.to_pylist() for col in batch.columns)):
+                if name != now:
+                    out += values(now, contents) if contents else []
+                    now, contents = name, {}
+                    if len(out) >= 10_000:
+                        yield batch_of(out)
+                        out = []
+                contents[(s, r, c)] = x
+        out += values(now, contents) if contents else []
+        if out:
+            yield batch_of(out)
+
+    rows = cells.select("book", "sheet", "row", "column", "content").repartition("book").sortWithinPartitions("book", "sheet", "row", "column")
+    return rows.mapInArrow(run, VALUES)
 
 
 def spread(values: DataFrame, columns: dict[int, str]) -> DataFrame:
