@@ -4,31 +4,33 @@ Documents link when the Jaccard similarity of their sets of 5-word shingles is
 at least 3/4. The join follows prefix filtering: shingles are put in one order,
 rare first, and two similar sets must share a shingle within short prefixes.
 
-1. One pass over the texts gives each document its set's size, fingerprint and
-   histogram, and a sketch of word frequencies over all documents (2^20
-   counters, merged in parallel). Documents with one set are one node.
-2. A second pass writes each node's prefix, rare shingles first. A shingle is at
-   most as frequent as its rarest word, so that word's count ranks it; any order
-   that all documents share keeps the join complete.
+1. One pass over the texts gives each document its set's size, fingerprint (128
+   bits) and histogram, and a sketch of shingle frequencies over all documents
+   (2^21 counters, merged in parallel). Documents with one set are one node.
+2. A second pass writes each node's prefix, rare shingles first by that sketch.
+   Any order that all documents share keeps the join complete; this one puts
+   passages that many documents hold last.
 3. Prefix shingles meet by a shuffle on the shingle. In a first round each is
    paired only with the shortest node of its shingle and length class, a hub;
-   pairs grow with the rows, not with the square of a group. Length, positional
-   and (on the histograms) suffix filters prune; survivors are verified on their
-   texts, once a pair.
-4. The nodes of shingles that still join several components are open. Their
-   prefixes are made anew, by the exact number of open nodes that hold each
-   shingle: a document of a large group whose own words set it apart has a
-   prefix of its own shingles, and meets no one.
-5. Shingles with many open nodes have a few more such rounds, each with other
-   hubs, chosen by keyed hashes.
-6. A last round pairs what shares a shingle of these prefixes but isn't yet in
-   one component, under the same filters; so nothing that decides a component is
-   left out, and groups of near copies, one component by then, cost nothing more.
+   pairs grow with the rows, not with the square of a group. Shingles that the
+   sketch tells to be very frequent are salted into several groups, whose hubs
+   meet in a round of their own. Length, positional and (on the histograms)
+   suffix filters prune; survivors are verified on their sets, once a pair.
+4. Shingles of three nodes or more that still join several components have
+   further such rounds, each with other hubs, chosen by keyed hashes.
+5. A last round pairs what shares a shingle but isn't yet in one component,
+   under the same filters: for each shingle the nodes outside its largest
+   component with all nodes. So nothing that decides a component is left out,
+   and groups of near copies, one component by then, cost nothing more.
+
+Prefix rows name a node by 64 bits of its fingerprint. Should two nodes share
+these, both stand for the row: more candidates, never a lost or a false link.
 
 Defined results: a document without words has no shingles, size 0, and links
 with nothing; one with fewer than five words has its whole sequence as one
-shingle. A row without an id gets its size but no component. Rows that repeat
-an id are handled each by its text. Further columns are ignored.
+shingle. A row without an id links like any other; it gets the smallest id of
+its group, null if none has one. Rows that repeat an id are handled each by its
+text. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +41,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .scratch import Scratch
+from .workers import parts, task
 
 WORDS = 5
-SKETCH_BITS, PARTS = 20, 64
+SKETCH_BITS, PARTS = 21, 64
 #: A set's histogram: its shingles by their hashes' upper bits, up to FULL each.
 BINS, FULL = 256, 255
-SEEN = 200_000
-#: Further hub rounds, for shingles of more than CROWD rows, with HUBS hubs each.
-HUB_ROUNDS, CROWD, HUBS = 2, 16, 4
+SEEN = 100_000
+#: Rows of a shingle, by the sketch, that go to one group before it is salted.
+SPLIT = 20_000
+#: Further hub rounds, with HUBS hubs for each shingle and length class.
+HUB_ROUNDS, HUBS = 2, 4
+#: Rows up to which a table of ids is broadcast, after a count.
+FEW = 500_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POW = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
 _SPACE = np.zeros(256, bool)
@@ -74,71 +81,88 @@ def words_of(text: str) -> np.ndarray:
     return mixed(np.add.reduceat(value, begins) + sizes.astype(np.uint64) * _K1)
 
 
-def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and the place where each is first."""
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Distinct shingle hashes, sorted."""
     if not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     k = min(WORDS, len(words))
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
         h = mixed(h * _K1 + words[i : len(words) - k + 1 + i])
-    return np.unique(h, return_index=True)
+    h.sort()
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    return h[first]
+
+
+def fingerprint(sh: np.ndarray) -> tuple[int, str]:
+    """64 bits of a set's fingerprint, and all 128 as a text."""
+    size = np.full(1, len(sh), np.uint64)
+    f, g = mixed(np.concatenate([mixed(sh ^ _K1).sum(keepdims=True) + size, mixed(sh + _K3).sum(keepdims=True) ^ (size * _K2)]))
+    return int(f.astype(np.int64)), f"{int(f):016x}{int(g):016x}"
+
 
+def _places(sh: np.ndarray) -> np.ndarray:
+    return (sh >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
-def fingerprint(sh: np.ndarray) -> int:
-    return int((mixed(mixed(sh ^ _K1).sum(keepdims=True) + np.uint64(len(sh))))[0].astype(np.int64))
+
+def _rows(documents: DataFrame) -> DataFrame:
+    """doc_id, text and h, a hash of the text that tells rows of one id apart."""
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
 
 
 def _nodes(documents: DataFrame) -> DataFrame:
-    """(doc_id, f, n, bins) of every row, and the tasks' sketches as (part, counts)."""
+    """(doc_id, h, key, f, n, bins) of every row, and the tasks' sketches as
+    (part, counts)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "h", "key", "f", "n", "bins", "part", "counts"]
 
     def run(batches):
         counts, key_type = np.zeros(1 << SKETCH_BITS, np.uint32), None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                f, n, bins = [], [], []
+            for part in parts(batch, 1):
+                keys, f, n, bins, at = [], [], [], [], [np.zeros(0, np.int64)]
                 for text in part.column(1).to_pylist():
-                    words = words_of(text or "")
-                    sh, _ = shingles(words)
+                    sh = shingles(words_of(text or ""))
+                    short, key = fingerprint(sh) if len(sh) else (None, None)
                     n.append(len(sh))
-                    f.append(fingerprint(sh) if len(sh) else None)
+                    f.append(short)
+                    keys.append(key)
                     bins.append(np.minimum(np.bincount((sh >> np.uint64(56)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes())
-                    # a word counts once a document
-                    counts[np.unique((words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))] += 1
+                    at.append(_places(sh))
+                at, more = np.unique(np.concatenate(at), return_counts=True)
+                counts[at] += more.astype(np.uint32)
                 none = [None] * len(f)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(f, pa.int64()), pa.array(n, pa.int64()), pa.array(bins, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "f", "n", "bins", "part", "counts"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.string()), pa.array(f, pa.int64()), pa.array(n, pa.int64()), pa.array(bins, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         if key_type is not None:
-            split = counts.reshape(PARTS, -1)
+            split = counts.astype("<u4").reshape(PARTS, -1)
             on = [p for p in range(PARTS) if split[p].any()]
             none = [None] * len(on)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(none, key_type), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(on, pa.int32()), pa.array([split[p].astype("<u4").tobytes() for p in on], pa.binary())],
-                names=["doc_id", "f", "n", "bins", "part", "counts"],
-            )
+            packed = [pa.compress(split[p].tobytes(), codec="zstd", asbytes=True) for p in on]
+            yield pa.RecordBatch.from_arrays([pa.array(none, key_type), pa.array(none, pa.int64()), pa.array(none, pa.string()), *[pa.array(none, pa.int64())] * 2, pa.array(none, pa.binary()), pa.array(on, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f long, n long, bins binary, part int, counts binary")
+    return _rows(documents).mapInArrow(task("jaccard", run), f"doc_id {kind}, h long, key string, f long, n long, bins binary, part int, counts binary")
 
 
 def _merged(sketches: DataFrame) -> np.ndarray:
     """The sketch of all tasks: a fixed 2^SKETCH_BITS counters."""
+    width = (1 << SKETCH_BITS) // PARTS
+
+    def counters(packed: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(packed, decompressed_size=4 * width, codec="zstd", asbytes=True), "<u4")
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = np.frombuffer(c, "<u4")
-                total[p] = total[p] + new if p in total else new.astype(np.uint64)
+                total[p] = total.get(p, 0) + counters(c).astype(np.uint64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pa.compress(np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes(), codec="zstd", asbytes=True) for v in total.values()], pa.binary())], names=["part", "counts"])
 
-    out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint32)
-    for r in sketches.select("part", "counts").repartition("part").mapInArrow(run, "part int, counts binary").collect():
-        out[r["part"]] = np.frombuffer(r["counts"], "<u4")
+    out = np.zeros((PARTS, width), np.uint32)
+    for r in sketches.select("part", "counts").repartition("part").mapInArrow(task("jaccard", run), "part int, counts binary").collect():
+        out[r["part"]] = counters(bytes(r["counts"]))
     return out.ravel()
 
 
@@ -146,97 +170,101 @@ def probe_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-def index_length(n):
-    """Prefix of the shorter set of a pair."""
-    return n - (6 * n + 6) // 7 + 1
+#: Of the shorter set of a pair: the end of its prefix.
+_INDEXED = "n{0} - (6L * n{0} + 6) div 7 + 1"
 
 
 def _prefixes(documents: DataFrame, sketch) -> DataFrame:
-    """(token, f, n, pos) of every node's prefix; a task writes a set it has seen
-    lately only once."""
+    """(token, salt, f, n, pos) of every node's prefix; a task writes a set that
+    it has seen lately only once. A shingle that the sketch knows to be in one
+    row takes its place of the prefix, but meets no one and isn't written."""
 
     def run(batches):
         counts, seen = sketch.value, set()
+        usual, step = int(np.median(counts)), max(0, int(counts.max()).bit_length() - 20)
         rows: list[tuple] = []
         size = 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in range(4)], names=["token", "f", "n", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in range(5)], names=["token", "salt", "f", "n", "pos"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                for key, text in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
-                    words = words_of(text or "")
-                    sh, first = shingles(words)
-                    if not len(sh) or key is None:
+            for part in parts(batch, 0):
+                for text in part.column(0).to_pylist():
+                    sh = shingles(words_of(text or ""))
+                    if not len(sh):
                         continue
-                    f = fingerprint(sh)
-                    if f in seen:
+                    f, key = fingerprint(sh)
+                    if key in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
-                    seen.add(f)
-                    n, k = len(sh), min(WORDS, len(words))
-                    often = counts[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    rarest = often[first]
-                    for j in range(1, k):
-                        rarest = np.minimum(rarest, often[first + j])
-                    prefix = sh[np.lexsort((sh, rarest))[: probe_length(n)]]
-                    rows.append((prefix.astype(np.int64), np.full(len(prefix), f), np.full(len(prefix), n, np.int32), np.arange(len(prefix), dtype=np.int32)))
-                    size += len(prefix)
+                    seen.add(key)
+                    often = counts[_places(sh)]
+                    # a stable order of equal keys: by the shingles themselves
+                    order = np.argsort(((often >> step).astype(np.uint64) << np.uint64(44)) | (sh >> np.uint64(20)), kind="stable")[: probe_length(len(sh))]
+                    pos = np.flatnonzero(often[order] > 1)
+                    if not len(pos):
+                        continue
+                    often = often[order][pos].astype(np.int64)
+                    salts = np.maximum(often - usual, 0) // SPLIT + 1
+                    salt = np.where(salts > 1, 1 + int(key[16:], 16) % salts.astype(np.uint64), 0).astype(np.int32) if (salts > 1).any() else np.zeros(len(pos), np.int32)
+                    rows.append((sh[order][pos].astype(np.int64), salt, np.full(len(pos), f), np.full(len(pos), len(sh), np.int32), pos.astype(np.int32)))
+                    size += len(pos)
                     if size >= 100_000:
                         yield out()
                         rows, size = [], 0
         if rows:
             yield out()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "token long, f long, n int, pos int")
+    return documents.select("text").mapInArrow(task("jaccard", run), "token long, salt int, f long, n int, pos int")
 
 
 def _hubs(prefixes: DataFrame) -> DataFrame:
     """Rows of shingles that two nodes or more share, each with its hub: the
-    first node of its shingle and length class, or for that node the hub of the
-    class before. Rows come sorted; what is carried from batch to batch is two
-    rows, however large a group is."""
+    first node of its shingle, salt and length class, or for that node the hub
+    of the class before. ``top`` marks the hubs of salted shingles. Rows come
+    sorted; what is carried from batch to batch is two rows, however large a
+    group is."""
 
     def run(batches):
         carry = None
         for batch in batches:
-            token, f, n, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            token, salt, f, n, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             told = np.zeros(len(token), bool)
             old = 0
             if carry is not None:
-                ct, cf, cn, cp, cd = carry
-                token, f, n, pos, told = np.concatenate([ct, token]), np.concatenate([cf, f]), np.concatenate([cn, n]), np.concatenate([cp, pos]), np.concatenate([cd, told])
-                old = len(ct)
+                token, salt, f, n, pos, told = (np.concatenate([x, y]) for x, y in zip(carry, (token, salt, f, n, pos, told)))
+                old = len(carry[0])
             copy = np.zeros(len(token), bool)
-            copy[1:] = (token[1:] == token[:-1]) & (f[1:] == f[:-1])
+            copy[1:] = (token[1:] == token[:-1]) & (f[1:] == f[:-1]) & (n[1:] == n[:-1])
             if copy.any():
                 keep = ~copy
                 old -= int(copy[:old].sum())
-                token, f, n, pos, told = token[keep], f[keep], n[keep], pos[keep], told[keep]
+                token, salt, f, n, pos, told = token[keep], salt[keep], f[keep], n[keep], pos[keep], told[keep]
             size = len(token)
             first = np.ones(size, bool)
-            first[1:] = token[1:] != token[:-1]
+            first[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
             kind = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int32)
             opens = first.copy()
             opens[1:] |= kind[1:] != kind[:-1]
             place = np.arange(size)
             hub = np.maximum.accumulate(np.where(opens, place, 0))
-            # the hub of the class before, for a hub that isn't its shingle's first
+            # the hub of the class before, for a hub that isn't its group's first
             before = np.full(size, -1)
             at = np.flatnonzero(opens)
             before[at[1:]] = at[:-1]
             before[first] = -1
             partner = np.where(opens, before, hub)
             group = np.cumsum(first) - 1
-            shared = np.bincount(group)[group] > 1
+            shared = (np.bincount(group)[group] > 1) | (salt > 0)
             out = np.flatnonzero(shared & ~told)
             if len(out):
                 p = partner[out]
                 none = (p < 0) | (out < old)  # a carried row's pair is told already, or it has none
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[out]), pa.array(f[out]), pa.array(n[out]), pa.array(pos[out]), pa.array(f[p], mask=none), pa.array(n[p], mask=none), pa.array(pos[p], mask=none)], names=["token", "f", "n", "pos", "hf", "hn", "hpos"]
+                    [pa.array(token[out]), pa.array(f[out]), pa.array(n[out]), pa.array(pos[out]), pa.array((salt > 0)[out] & opens[out]), pa.array(f[p], mask=none), pa.array(n[p], mask=none), pa.array(pos[p], mask=none)],
+                    names=["token", "f", "n", "pos", "top", "hf", "hn", "hpos"],
                 )
             told |= shared
             last = size - 1
@@ -244,9 +272,9 @@ def _hubs(prefixes: DataFrame) -> DataFrame:
             if before[hub[last]] >= 0:
                 ends = [before[hub[last]], *ends]
             ends = np.array(ends)
-            carry = token[ends], f[ends], n[ends], pos[ends], told[ends]
+            carry = token[ends], salt[ends], f[ends], n[ends], pos[ends], told[ends]
 
-    return prefixes.repartition("token").sortWithinPartitions("token", "n", "f").mapInArrow(run, "token long, f long, n int, pos int, hf long, hn int, hpos int")
+    return prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "f").mapInArrow(task("jaccard", run), "token long, f long, n int, pos int, top boolean, hf long, hn int, hpos int")
 
 
 def _may_link(n: str, pos: str, m: str, at: str):
@@ -255,172 +283,154 @@ def _may_link(n: str, pos: str, m: str, at: str):
     return (4 * F.least(n_, m_) >= 3 * F.greatest(n_, m_)) & (7 * F.least(n_ - p_, m_ - q_) >= 3 * (n_ + m_))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Of pairs (fa, fb): those that link, as ids (a, b) of their classes."""
-    ca, cb = (classes.select(F.col("f").alias("f" + s), F.col("id").alias("i" + s), F.col("n").alias("n" + s), F.col("bins").alias("b" + s)) for s in "ab")
-    kind = classes.schema["id"].dataType.simpleString()
+def _ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("fa"), F.greatest(a, b).alias("fb")).distinct()
+
+
+def _told(shared: DataFrame) -> DataFrame:
+    return _ordered(shared.where(F.col("hf").isNotNull() & _may_link("n", "pos", "hn", "hpos")), "f", "hf")
+
+
+def _sets(keys: DataFrame, classes: DataFrame, documents: DataFrame, repeated: bool, scratch: Scratch) -> DataFrame:
+    """(key, tokens) of some nodes: all their shingles."""
+    wanted = scratch.keep(keys.distinct().join(classes.select("key", "id", "h"), "key").select("key", F.col("id").alias("_id"), F.col("h").alias("_h")), "wanted")
+    one = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    texts = _rows(documents).where("text is not null").join(one, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
+
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch, 1):
+                keys, tokens = [], []
+                for key, text in zip(*(c.to_pylist() for c in part.columns)):
+                    sh = shingles(words_of(text))
+                    if len(sh) and fingerprint(sh)[1] == key:
+                        keys.append(key)
+                        tokens.append(sh.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
+
+    sets = texts.mapInArrow(task("jaccard", run), "key string, tokens binary")
+    return scratch.keep(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, repeated: bool, scratch: Scratch) -> DataFrame:
+    """Of pairs (fa, fb): the links (a, b) of their nodes. repeated: rows may
+    share an id and a text."""
+    ca, cb = (classes.select(F.col("f").alias("f" + s), F.col("key").alias("k" + s), F.col("n").alias("n" + s), F.col("bins").alias("b" + s)) for s in "ab")
 
     def suffix(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (6, 7))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
                 full = (x.max(axis=1) == FULL) | (y.max(axis=1) == FULL)  # these may have more than they tell
                 both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
-                yield batch.filter(pa.array(full | (7 * both >= 3 * (n + m)))).select([0, 1, 2, 3])
+                n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+                yield batch.filter(pa.array(full | (7 * both >= 3 * (n + m)))).select([0, 1])
 
-    close = pairs.join(ca, "fa").join(cb, "fb").select("fa", "fb", "ia", "ib", "na", "nb", "ba", "bb").mapInArrow(suffix, f"fa long, fb long, ia {kind}, ib {kind}")
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("i"), F.col("text").alias("t"))
+    close = pairs.join(ca, "fa").join(cb, "fb").where("ka <> kb").select("ka", "kb", "na", "nb", "ba", "bb").mapInArrow(task("jaccard", suffix), "ka string, kb string")
+    close = scratch.keep(close, "close")
+    sets = _sets(close.select(F.col("ka").alias("key")).union(close.select(F.col("kb").alias("key"))), classes, documents, repeated, scratch)
 
     def verify(batches):
-        held: dict[int, np.ndarray] = {}
-
-        def sets(f, text):
-            got = held.get(f)
-            if got is None:
-                got, _ = shingles(words_of(text))
-                if len(held) >= 64:
-                    held.clear()
-                if fingerprint(got) == f:
-                    held[f] = got
-                else:
-                    return None  # another row with this id
-            return got
-
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part, good = batch.slice(i, 64), []
-                fa, fb, ta, tb = (part.column(k).to_pylist() for k in (0, 1, 4, 5))
-                for u, v, x, y in zip(fa, fb, ta, tb):
-                    a, b = sets(u, x), sets(v, y)
-                    if a is None or b is None:
-                        good.append(False)
-                        continue
-                    joined = np.concatenate([a, b])
+            for part in parts(batch, 2):
+                good = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    joined = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                     joined.sort()
                     both = int((joined[1:] == joined[:-1]).sum())
                     good.append(100 * both >= 75 * (len(joined) - both))
-                yield part.filter(pa.array(good, pa.bool_())).select([2, 3])
-
-    full = close.join(texts.select(F.col("i").alias("ib"), F.col("t").alias("tb")), "ib").join(texts.select(F.col("i").alias("ia"), F.col("t").alias("ta")), "ia").select("fa", "fb", "ia", "ib", "ta", "tb")
-    return full.mapInArrow(verify, f"a {kind}, b {kind}").distinct()
-
-
-def _mixed(rows: DataFrame, classed: DataFrame) -> DataFrame:
-    """Rows that share their shingle with a node of another component and of a
-    length that may link, with their components and the number of such rows.
-    Lengths that may link lie in one class or in two beside each other."""
-    kind = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.34))).cast("int")
-    rows = rows.select("token", "f", "n", "pos", kind.alias("kind")).join(classed, "f")
-    near = rows.select("token", "component", F.explode(F.array(*[F.col("kind") + d for d in (-1, 0, 1)])).alias("kind"))
-    tokens = near.groupBy("token", "kind").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("crowd")).where("lo < hi").select("token", "kind", "crowd")
-    return rows.join(tokens, ["token", "kind"]).drop("kind")
-
-
-def _crowded(rows: DataFrame, k: int) -> DataFrame:
-    """Pairs (fa, fb) of the rows of crowded shingles with their hubs: of each
-    shingle and length class the nodes first by HUBS keyed hashes. In the first
-    round the same nodes are hubs of many shingles; later each shingle has hubs
-    of its own, so that a node meets as many as it has shingles. Nodes of one
-    component aren't paired."""
-    big = rows.where(F.col("crowd") > CROWD).withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))))
-    salt = [] if k == 0 else ["token"]
-    picks = [F.min(F.struct(F.xxhash64(F.lit(k * HUBS + h), *salt, "f").alias("o"), "f", "n", "pos", "component")).alias(f"h{h}") for h in range(HUBS)]
-    hubs = big.groupBy("token", "kind").agg(*picks).select("token", "kind", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"h{h}.{c}").alias(c) for c in ("f", "n", "pos", "component")]) for h in range(HUBS)]))).alias("hub"))
-    met = big.join(hubs.select("token", "kind", *[F.col(f"hub.{c}").alias("h" + c) for c in ("f", "n", "pos", "component")]), ["token", "kind"])
-    return met.where((F.col("component") != F.col("hcomponent")) & _may_link("n", "pos", "hn", "hpos")).select(F.least("f", "hf").alias("fa"), F.greatest("f", "hf").alias("fb")).distinct()
-
-
-def _sets(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(f, tokens) of the nodes in ``rows``: all their shingles."""
-    wanted = rows.select("f").distinct().join(classes.select("f", F.col("id").alias("doc_id")), "f")
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text").join(wanted, "doc_id").select("f", "text")
+                yield part.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                f, tokens = [], []
-                for key, text in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns)):
-                    sh, _ = shingles(words_of(text))
-                    if len(sh) and fingerprint(sh) == key:  # else another row with this id
-                        f.append(key)
-                        tokens.append(sh.astype(np.int64))
-                ends = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
-                flat = pa.array(np.concatenate([np.zeros(0, np.int64), *tokens]))
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat, type=pa.list_(pa.field("element", pa.int64(), False)))], names=["f", "tokens"])
-
-    return texts.mapInArrow(run, "f long, tokens array<long>").dropDuplicates(["f"])
-
-
-def _by_count(sets: DataFrame) -> DataFrame:
-    """(token, f, n, pos) of the sets' prefixes, shingles that the
-    fewest sets hold first. Those that one set holds meet no one: they take
-    their places of the prefix, but aren't written."""
-    # counted and joined where one shuffle has put them
-    each = sets.select("f", F.explode("tokens").alias("token")).repartition("token")
-    counts = each.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
-    held = each.join(counts, "token").groupBy("f").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("held"))
-    sized = held.join(sets.select("f", F.size("tokens").alias("n")), "f").withColumn("alone", F.col("n") - F.size("held"))
-    room = F.expr("n - (3L * n + 3) div 4 + 1 - alone").cast("int")
-    some = sized.where(room > 0).select("f", "n", "alone", F.posexplode(F.slice("held", F.lit(1), room)).alias("at", "t"))
-    return some.select(F.col("t.token").alias("token"), "f", "n", (F.col("alone") + F.col("at")).cast("int").alias("pos"))
+    ta, tb = (sets.select(F.col("key").alias("k" + s), F.col("tokens").alias("t" + s)) for s in "ab")
+    return scratch.keep(close.join(ta, "ka").join(tb, "kb").select("ka", "kb", "ta", "tb").mapInArrow(task("jaccard", verify), "a string, b string"), "links")
+
+
+def _open(rows: DataFrame, classed: DataFrame) -> DataFrame:
+    """Rows of shingles that nodes of several components share, with their
+    components, and the largest component of each shingle."""
+    rows = rows.select("token", "f", "n", "pos").join(classed, "f")
+    each = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
+    tokens = each.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("n", "component"))["component"].alias("main")).where("k > 1").select("token", "main")
+    return rows.join(tokens, "token")
+
+
+def _met(rows: DataFrame, k: int) -> DataFrame:
+    """Pairs (fa, fb) of rows with their hubs: of each shingle and length class
+    the nodes first by HUBS keyed hashes. Nodes of one component aren't paired."""
+    rows = rows.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))))
+    picks = [F.min(F.struct(F.xxhash64(F.lit(k * HUBS + h), "token", "f").alias("o"), "f", "n", "pos", "component")).alias(f"h{h}") for h in range(HUBS)]
+    hubs = rows.groupBy("token", "kind").agg(*picks).select("token", "kind", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"h{h}.{c}").alias(c) for c in ("f", "n", "pos", "component")]) for h in range(HUBS)]))).alias("hub"))
+    met = rows.join(hubs.select("token", "kind", *[F.col(f"hub.{c}").alias("h" + c) for c in ("f", "n", "pos", "component")]), ["token", "kind"])
+    return _ordered(met.where((F.col("component") != F.col("hcomponent")) & _may_link("n", "pos", "hn", "hpos")), "f", "hf")
+
+
+def _left(rows: DataFrame) -> DataFrame:
+    """Pairs (fa, fb) of nodes that share a shingle and pass the filters, but are
+    in different components: one of them is outside the shingle's largest."""
+    a, b = (r.select("token", *(F.col(c).alias(c + s) for c in ("f", "n", "pos", "component"))) for r, s in ((rows.where("component <> main"), "a"), (rows, "b")))
+    indexed = F.expr(f"if(na < nb or (na = nb and fa < fb), posa < {_INDEXED.format('a')}, posb < {_INDEXED.format('b')})")
+    return _ordered(a.join(b, "token").where((F.col("componenta") != F.col("componentb")) & indexed & _may_link("na", "posa", "nb", "posb")), "fa", "fb")
 
 
 def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (doc_id, f, n) of every row, and classes (f, component)."""
+    """nodes (doc_id, h, key, n) of every row, and classes (key, component): the
+    keys of linked nodes have one component, the smallest of them."""
     scratch = Scratch(spark, "jaccard")
     written = scratch.keep(_nodes(documents), "nodes")
-    nodes = written.where("part is null").select("doc_id", "f", "n", "bins")
+    nodes = written.where("part is null").drop("part", "counts")
     sketch = spark.sparkContext.broadcast(_merged(written.where("part is not null")))
-    classes = scratch.keep(nodes.where("f is not null and doc_id is not null").groupBy("f", "n").agg(F.min("doc_id").alias("id"), F.first("bins").alias("bins")), "classes")
-    shared = scratch.keep(_hubs(_prefixes(documents, sketch)), "shared", large=True)
-    pairs = shared.where(F.col("hf").isNotNull() & _may_link("n", "pos", "hn", "hpos")).select(F.least("f", "hf").alias("fa"), F.greatest("f", "hf").alias("fb")).where("fa <> fb").distinct()
-    links = scratch.keep(_verified(pairs, classes, documents), "links", large=True)
-    ids = classes.select("f", F.col("id").alias("node"))
-
-    def settled(links: DataFrame, rounds: int | None = None) -> DataFrame:
-        found = connected_components(links, scratch, rounds=rounds)
-        return scratch.keep(ids.join(found, "node", "left").select("f", F.coalesce("component", "node").alias("component")), "components")
-
-    # what is known to be linked needn't be settled to spare the later rounds pairs
-    classed = settled(links, rounds=2)
-    mixed = scratch.keep(_mixed(shared.select("token", "f", "n", "pos"), classed), "mixed", large=True)
-    scratch.drop(shared)
-    sets = scratch.keep(_sets(mixed, classes, documents), "sets", large=True)
-    scratch.drop(mixed)
-    rows = scratch.keep(_by_count(sets), "rare", large=True)
-    scratch.drop(sets)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h"))
+    classes = nodes.where("key is not null").groupBy("key", "f", "n").agg(first.alias("r"), F.first("bins").alias("bins"))
+    classes = scratch.keep(classes.select("key", "f", "n", F.col("r.doc_id").alias("id"), F.col("r.h").alias("h"), "bins"), "classes")
+    shared = scratch.keep(_hubs(_prefixes(documents, sketch)), "shared")
+    # two nodes of a shingle meet in the first round: later ones are for three or more
+    crowds = shared.groupBy("token").agg(F.count("*").alias("crowd")).where("crowd > 2").select("token")
+    rows = scratch.keep(shared.select("token", "f", "n", "pos").join(crowds, "token"), "crowds")
+    tops = _hubs(shared.where("top").select("token", F.lit(0).alias("salt"), "f", "n", "pos"))
+    pairs = scratch.keep(_told(shared).union(_told(tops)).distinct(), "pairs")
+    again = nodes.where("key is not null").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = not again.isEmpty()
+    links = _verified(pairs, classes, documents, repeated, scratch)
+    ids = classes.select("f", F.col("key").alias("node"))
+
+    def settled(links: DataFrame) -> DataFrame:
+        found = connected_components(links, scratch)
+        return scratch.keep(ids.join(found, "node", "left").select("f", "node", F.coalesce("component", "node").alias("component")), "components")
+
+    def stars(classed: DataFrame) -> DataFrame:
+        return classed.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    classed = settled(links)
     for k in range(HUB_ROUNDS + 1):
-        old, rows = rows, scratch.keep(_mixed(rows, classed), "mixed", large=True)
-        scratch.drop(old)
-        if k == HUB_ROUNDS:
-            break
-        new = scratch.keep(_verified(_crowded(rows, k), classes, documents), "links", large=True)
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        classed = settled(links)
-    left = rows.where(F.expr("pos < n - (6L * n + 6) div 7 + 1"))
-    a, b = (r.select("token", *(F.col(c).alias(c + s) for c in ("f", "n", "pos", "component"))) for r, s in ((left, "a"), (rows, "b")))
-    cond = (F.col("componenta") != F.col("componentb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("fa") < F.col("fb")))) & _may_link("na", "posa", "nb", "posb")
-    more = a.join(b, "token").where(cond).select("fa", "fb").distinct()
-    extra = scratch.keep(_verified(more, classes, documents), "links", large=True)
-    return nodes, settled(links.union(extra))
+        now = scratch.keep(_open(rows, classed.select("f", "component")), "open")
+        new = scratch.keep((_left(now) if k == HUB_ROUNDS else _met(now, k)).join(pairs, ["fa", "fb"], "left_anti"), "pairs")
+        links = _verified(new, classes, documents, repeated, scratch)
+        if not links.isEmpty():
+            classed = settled(stars(classed).union(links))
+        pairs = pairs.union(new)
+    return nodes.select("doc_id", "h", "key", "n"), classed.select(F.col("node").alias("key"), "component")
 
 
 def op2(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``documents``."""
     nodes, classed = component_table(spark, documents)
-    some = nodes.where("f is not null and doc_id is not null").join(classed, "f").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    none = nodes.where("f is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.union(none)
+    some = nodes.where("key is not null").join(classed, "key")
+    least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = some.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.union(nodes.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each group of linked ones: that with the
-    smallest id, and of rows that repeat it one."""
+    smallest id (an id before none), of rows that repeat it one. Rows without
+    words all stay."""
     nodes, classed = component_table(spark, documents)
-    kept = nodes.where("f is not null and doc_id is not null").join(classed, "f").where("doc_id = component").select("doc_id").distinct()
-    alone = nodes.where("f is null and doc_id is not null").select("doc_id").distinct()
-    with_id = documents.where("doc_id is not null").join(kept.union(alone).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(documents.where("doc_id is null")).select(documents.columns)
+    some = nodes.where("key is not null").join(classed, "key")
+    first = some.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
+    chosen = first.withColumn("one", F.lit(True)).union(nodes.where("key is null").select("doc_id", "h").distinct().withColumn("one", F.lit(False)))
+    chosen = Scratch(spark, "chosen").keep(chosen.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("one").alias("_one")), "chosen")
+    kept = documents.withColumn("_text", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")), "inner")
+    again = nodes.where("key is not null").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():  # rows that repeat an id and its text
+        kept = kept.where("not _one").unionByName(kept.where("_one").dropDuplicates(["_id", "_h"]))
+    return kept.select(*[documents[c] for c in documents.columns])

@@ -1,13 +1,12 @@
 """Written tables in the folder that all executors share.
 
 Iterative operators cut their lineage here. The folder is the one that the
-cluster names in ``spark.checkpoint.dir``; only where none is named (tests on
-one machine) a temporary one is made.
+cluster names in ``spark.checkpoint.dir``; only in local mode, where none is named,
+a temporary one is made.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -20,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -38,18 +39,10 @@ class Scratch:
         self._count += 1
         return f"{self.root}/{self._count:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
-        """Write ``df`` and read it back: later stages start from the files.
-        large: the shuffles behind it are worth being freed at once."""
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back: later stages start from the files."""
         path, schema = self.path(name), df.schema
         df.write.mode("overwrite").parquet(path)
-        if large:
-            # Tasks whose executor is lost start again from the files, so the
-            # shuffles that made them aren't needed; Spark frees them once the
-            # driver has collected its garbage.
-            del df
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(schema).parquet(path)
         out._gridloom_path = path
         return out
