@@ -1,21 +1,24 @@
 """Near-duplicate vectors by an inverted index with product quantisation.
 
 Vectors are scaled to length 1; equal ones of a label are one class, known by a
-hash of both; its smallest id only names it in the result. A coarse codebook
-assigns each class to one inverted list; its residual is coded by one byte a
-subspace, and the residual's coding error is kept. A query probes every list
-whose cell can hold a vector within the radius that the cosine allows (the
-distance to the cell's boundary plane bounds it: sufficient probes). In a list,
-distances are summed from a table per subspace; a vector is a candidate unless
-that sum and its coding error prove it too far. Candidates are rescored by
-cosine in double precision. Both bounds are safe, so no link is missed; recall
-against brute force is measured by the tests.
+hash of both; its smallest id only names it in the result. A coarse codebook of
+about sqrt(n) centres assigns each class to one inverted list; its residual is
+coded by one byte a subspace, and the residual's coding error is kept. A query
+probes its nearest lists. How many is measured when the codebook is fitted: each
+vector of the sample gets a partner of exactly the least cosine in a random
+direction, and the probes must reach the lists of all these partners, and a
+quarter more. In a list, distances are summed from a table per subspace; a
+vector is a candidate unless that sum and its coding error prove it too far, so
+the codes lose no link. Candidates are rescored by cosine in double precision.
+Recall against brute force is measured by the tests.
 
 A (label, list) pair of any size is dealt out in blocks of vectors and blocks of
 queries of bounded size; a block pair returns the queries' link counts and a
 spanning forest of the links it found, at most one row a vector.
 
-Codebooks are fitted on ``SAMPLE`` classes drawn by hash, the documented bound.
+Codebooks are fitted on a sample of classes drawn by hash: ``SAMPLE``, or
+``A_LIST`` for each list, of which there are ``LISTS`` at most; these are the
+documented bounds.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component, and rows whose label or id is null, link with nothing; their
@@ -35,8 +38,8 @@ from .components import connected_components
 from .scratch import Scratch
 
 COSINE = 0.93
-LISTS, SUBSPACES, CODES = 64, 8, 32
-SAMPLE = 8192
+LISTS, SUBSPACES, CODES = 4096, 8, 32
+SAMPLE, A_LIST = 8192, 16
 BLOCK, QUERIES = 4096, 8192
 SLACK = 1e-6
 
@@ -61,37 +64,58 @@ def _unit(vectors: list) -> list[np.ndarray | None]:
     return out
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    size = (centres**2).sum(1)
+    return np.concatenate([(size - 2 * x[i : i + 4096] @ centres.T).argmin(1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
     random = np.random.default_rng(seed)
     centres = x[random.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
-        for j in range(len(centres)):
-            if (own == j).any():
-                centres[j] = x[own == j].mean(0)
+        own = _nearest(x, centres)
+        order = np.argsort(own, kind="stable")
+        found, first = np.unique(own[order], return_index=True)
+        sums = np.add.reduceat(x[order], first, axis=0)
+        centres[found] = sums / np.diff(first, append=len(x))[:, None]
     return centres
 
 
 class Index:
     """Coarse centres and residual codebooks for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray):
+    def __init__(self, sample: np.ndarray, lists: int = 1, cosine: float = COSINE):
         self.dim = sample.shape[1]
-        self.centres = _kmeans(sample, max(1, min(LISTS, len(sample) // 8)))
+        self.centres = _kmeans(sample, max(1, min(lists, len(sample) // 8)))
+        self.probed = self._measured(sample[:SAMPLE], cosine)
         residual = sample - self.centres[self.lists(sample)]
         self.cuts = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
         self.books = [_kmeans(residual[:, a:b], min(CODES, len(sample))) for a, b in zip(self.cuts, self.cuts[1:])]
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        return ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
-
-    def probes(self, x: np.ndarray, reach: float) -> np.ndarray:
-        """Which lists may hold a vector within reach of each row."""
+        return _nearest(x, self.centres)
+
+    def _measured(self, x: np.ndarray, cosine: float) -> int:
+        """Lists to probe: up to the farthest in which a partner was found."""
+        away = np.random.default_rng(11).normal(size=x.shape)
+        away -= (away * x).sum(1)[:, None] * x
+        size = np.linalg.norm(away, axis=1)
+        away /= np.where(size > 0, size, 1)[:, None]
+        partner, own, worst = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * away, self.lists(x), 0
+        for i in range(0, len(x), 1024):
+            square = (self.centres**2).sum(1) - 2 * partner[i : i + 1024] @ self.centres.T
+            at = own[i : i + 1024]
+            worst = max(worst, int((square < square[np.arange(len(at)), at][:, None]).sum(1).max()))
+        return min(len(self.centres), int(np.ceil(1.25 * (worst + 1))) + 1)
+
+    def probes(self, x: np.ndarray) -> np.ndarray:
+        """Which lists each row asks: its nearest."""
         square = (self.centres**2).sum(1) - 2 * x @ self.centres.T
-        own = square.argmin(1)
-        gap = square - square[np.arange(len(x)), own][:, None]
-        apart = np.sqrt(np.maximum(((self.centres[own][:, None] - self.centres[None]) ** 2).sum(2), 1e-30))
-        return (gap <= 2 * reach * apart + SLACK) | (np.arange(len(self.centres)) == own[:, None])
+        out = np.zeros(square.shape, bool)
+        if self.probed >= len(self.centres):
+            return ~out
+        np.put_along_axis(out, np.argpartition(square, self.probed - 1, axis=1)[:, : self.probed], True, axis=1)
+        return out
 
     def coded(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One byte a subspace, and the length of the coding error."""
@@ -150,11 +174,12 @@ def op6(spark: SparkSession, embeddings: DataFrame, cosine: float = COSINE) -> D
     vectors = keyed.where(good).select("vec_id", "label", "key", "u").join(classes, ["label", "key"]).where("vec_id = rep").dropDuplicates(["label", "key"]).select("label", "key", "cid", "rep", "copies", "u")
     vectors = scratch.keep(vectors, "vectors")
 
-    sample = vectors.select("rep", "cid", "u").orderBy(F.xxhash64("rep"), "rep", "cid").limit(SAMPLE).collect()
+    lists = max(1, min(LISTS, round(vectors.count() ** 0.5)))
+    sample = vectors.select("rep", "cid", "u").orderBy(F.xxhash64("rep"), "rep", "cid").limit(max(SAMPLE, A_LIST * lists)).collect()
     fitted: dict[int, list] = {}
     for r in sample:
         fitted.setdefault(len(r["u"]), []).append(r["u"])
-    index = spark.sparkContext.broadcast({d: Index(np.array(v)) for d, v in fitted.items()})
+    index = spark.sparkContext.broadcast({d: Index(np.array(v), lists, cosine) for d, v in fitted.items()})
     reach = radius(cosine)
 
     def groups(batch):
@@ -165,7 +190,7 @@ def op6(spark: SparkSession, embeddings: DataFrame, cosine: float = COSINE) -> D
             at = np.flatnonzero(sizes == d)
             x = np.array([us[i] for i in at])
             # a length that the sample lacks has one list, with no code
-            yield index.value.get(int(d)) or Index(x[:1]), at, x
+            yield index.value.get(int(d)) or Index(x[:1], 1, cosine), at, x
 
     def store(batches):
         for batch in batches:
@@ -183,7 +208,7 @@ def op6(spark: SparkSession, embeddings: DataFrame, cosine: float = COSINE) -> D
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 for ix, at, x in groups(part):
-                    who, where = np.nonzero(ix.probes(x, reach))
+                    who, where = np.nonzero(ix.probes(x))
                     got = part.take(pa.array(at[who]))
                     yield pa.RecordBatch.from_arrays([got.column("label"), pa.array(np.full(len(who), ix.dim), pa.int32()), pa.array(where, pa.int32()), got.column("cid"), got.column("rep"), got.column("u")], names=["label", "dim", "list", "cid", "rep", "u"])
 
@@ -231,7 +256,7 @@ def op6(spark: SparkSession, embeddings: DataFrame, cosine: float = COSINE) -> D
         a, b = [*counts, *u.tolist()], v.tolist()
         return pa.table({"a": pa.array([cids[i] for i in a], pa.string()), "a_rep": pa.array([reps[i] for i in a], pa.int64()), "b": pa.array([None] * n + [cids[i] for i in b], pa.string()), "b_rep": pa.array([None] * n + [reps[i] for i in b], pa.int64()), "n": pa.array([*counts.values(), *[0] * len(u)], pa.int64())})
 
-    found = scratch.keep(asked.groupBy(deal).cogroup(stored.groupBy(deal)).applyInArrow(compare, "a string, a_rep long, b string, b_rep long, n long"), "found", large=True)
+    found = scratch.keep(asked.groupBy(deal).cogroup(stored.groupBy(deal)).applyInArrow(compare, "a string, a_rep long, b string, b_rep long, n long"), "found")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     # nodes in the order of their ids, so that a component has its smallest
     node = lambda c: F.struct(F.col(f"{c}_rep").alias("rep"), F.col(c).alias("cid")).alias(c)
