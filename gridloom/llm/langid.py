@@ -19,6 +19,7 @@ other. Repeated rows are scored each. Columns other than the id, the text and
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .sampling import draw, held_out, learnable
+from .workers import kept, parts, task
 
-#: Letters of labelled text in a language's automaton, and rows drawn for them
-#: at most: the documented bounds of the sample that is learned from.
-TRAIN_CHARS = 24_000
-TRAIN_ROWS = 128
+#: The documented bounds of the sample that is learned from: languages (those of
+#: most labelled rows), letters in a language's automaton and in all, rows drawn
+#: for a language and letters read of a row.
+TRAIN_LANGS = 64
+TRAIN_CHARS, TRAIN_TOTAL = 24_000, 160_000
+TRAIN_ROWS, ROW_CHARS = 128, 6_000
+#: Letters with a column of the dense table; the transitions of others are hashed.
+DENSE = 192
 #: Letters in a block, and letters of a text normalised at once.
 BLOCK = 256
 PIECE = 1_000_000
@@ -43,20 +49,34 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Normalised training text of each language, from a bounded sample of the
     rows that are not held out."""
     rows = documents.select(F.col(id_col).alias("k"), F.col(lang_col).alias("l")).where(learnable(F.col("k")))
-    drawn = draw(rows, "k", "l", TRAIN_ROWS)
+    most = rows.where("l is not null").groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(TRAIN_LANGS).collect()
+    drawn = draw(rows.where(F.col("l").isin([r["l"] for r in most])), "k", "l", TRAIN_ROWS) if most else []
     if not drawn:
         return {}
     found = (
-        documents.where(F.col(id_col).isin([k for k, _ in drawn]) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"), F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("t"))
+        documents.where(F.col(id_col).isin([k for k, _ in drawn]) & F.col(lang_col).isin([r["l"] for r in most]) & F.col(text_col).isNotNull())
+        .select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"), F.substring(F.col(text_col), 1, ROW_CHARS).alias("t"))
+        .groupBy("k", "l")
+        .agg(F.min("t").alias("t"))  # an id's rows beyond one are left out
         .collect()
     )
-    out: dict[str, str] = {}
-    for r in sorted(found, key=lambda r: (str(r["l"]), r["k"], r["t"])):
-        have = out.get(str(r["l"]), " ")
-        if len(have) < TRAIN_CHARS:
-            out[str(r["l"])] = have + "".join(c if c.isalpha() else " " for c in r["t"].lower()) + " "
-    return {k: " ".join(v.split())[:TRAIN_CHARS] for k, v in sorted(out.items()) if v.strip()}
+    texts: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (str(r["l"]), r["k"])):
+        plain = " ".join("".join(c if c.isalpha() else " " for c in r["t"].lower()).split())
+        if plain:
+            texts.setdefault(str(r["l"]), []).append(plain)
+    room = min(TRAIN_CHARS, TRAIN_TOTAL // max(len(texts), 1))
+    return {lang: _even(rows, room) for lang, rows in sorted(texts.items())}
+
+
+def _even(texts: list[str], room: int) -> str:
+    """As many letters of each text; what short ones leave goes to the others."""
+    out = []
+    for i, text in enumerate(sorted(texts, key=lambda t: (len(t), t))):
+        share = room // (len(texts) - i)
+        out.append(text[:share])
+        room -= len(out[-1])
+    return " ".join(t for t in out if t)
 
 
 def _automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -91,38 +111,47 @@ def _automaton(codes: list[int]) -> list[dict[int, int]]:
 class Parser:
     """The automata of all languages in one table.
 
-    An entry holds twice the next state's row offset, plus 1 if a phrase starts
-    with this letter; so a step is one gather."""
+    An entry holds twice the next state, plus 1 if a phrase starts with this
+    letter; so a step is one gather. Only the most frequent letters have a column;
+    of the others, what the automata have is in a hash table, and what they
+    haven't starts a phrase at the language's root."""
 
     def __init__(self, trained: dict[str, str]):
         self.langs = sorted(trained)
-        letters = sorted({c for t in trained.values() for c in t if c != " "})
-        code = {c: i + 1 for i, c in enumerate(letters)}
-        self.unknown, self.pad = len(letters) + 1, len(letters) + 2
-        width = len(letters) + 3
+        often = Counter(c for t in trained.values() for c in t if c != " ")
+        letters = [c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))]
+        # 0 is a space, 1 a letter of no language, 2 fills a block
+        code = {c: i + 3 for i, c in enumerate(letters)}
+        self.unknown, self.pad = 1, 2
+        self.width = min(len(letters), DENSE) + 3
         self.lut = self._lookup(code)
-        tables, self.roots, self.bits, base = [], [], [], 0
-        for lang in self.langs:
+        tables, self.roots, self.bits, base, rare = [], [], [], 0, {}
+        fallback = np.zeros((len(self.langs), len(letters) + 3), np.int64)
+        for k, lang in enumerate(self.langs):
             text = trained[lang]
             to = _automaton([code.get(c, 0) for c in text])
-            root = np.zeros(width, np.int64)
+            fallback[k] = base * 2 + 1
             for c, s in to[0].items():
-                root[c] = s
-            table = np.broadcast_to(root * width, (len(to), width)).copy()
-            starts = np.ones((len(to), width), np.int64)
+                fallback[k, c] = (base + s) * 2 + 1
+            table = np.broadcast_to(fallback[k, : self.width], (len(to), self.width)).copy()
             for s, nexts in enumerate(to[1:], 1):
                 for c, t in nexts.items():
-                    table[s, c], starts[s, c] = t * width, 0
-            table = (table + base) * 2 + starts
-            table[:, self.pad] = (np.arange(len(to)) * width + base) * 2
-            tables.append(table.astype(np.int32).ravel())
+                    if c < self.width:
+                        table[s, c] = (base + t) * 2
+                    else:
+                        rare[(base + s) << 21 | c] = (base + t) * 2
+            table[:, self.pad] = (np.arange(len(to)) + base) * 2
+            tables.append(table.astype(np.int32))
             self.roots.append(base)
             self.bits.append(np.log2(max(len(text), 2)))
-            base += len(to) * width
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            base += len(to)
+        self.table = np.concatenate(tables) if tables else np.zeros((0, self.width), np.int32)
+        self.fallback = fallback
+        self.keys = np.array(sorted(rare), np.int64)
+        self.values = np.array([rare[k] for k in self.keys.tolist()], np.int32)
 
     def _lookup(self, code: dict[str, int]) -> np.ndarray:
-        lut = np.zeros(0x110000, np.uint16)
+        lut = np.zeros(0x110000, np.uint32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
@@ -144,10 +173,10 @@ class Parser:
                 n += len(codes)
                 letters += int(np.count_nonzero(codes))
                 rows = -(-len(codes) // BLOCK)
-                padded = np.full(rows * BLOCK, self.pad, np.uint16)
+                padded = np.full(rows * BLOCK, self.pad, np.uint32)
                 padded[: len(codes)] = codes
                 parts.append(padded.reshape(rows, BLOCK))
-        return (np.concatenate(parts) if parts else np.zeros((0, BLOCK), np.uint16)), n, letters
+        return (np.concatenate(parts) if parts else np.zeros((0, BLOCK), np.uint32)), n, letters
 
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
         """Phrases of each block (columns) in each language (rows)."""
@@ -155,7 +184,12 @@ class Parser:
         at = np.repeat(np.array(self.roots, np.int32)[:, None], blocks.shape[0], axis=1)
         count = np.zeros_like(at)
         for step in steps:
-            got = self.table.take(at + step)
+            rare = np.flatnonzero(step >= self.width)
+            got = self.table[at, np.where(step < self.width, step, 0) if len(rare) else step]
+            if len(rare):
+                keys = at[:, rare].astype(np.int64) << 21 | step[rare]
+                slot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+                got[:, rare] = np.where(self.keys[slot] == keys, self.values[slot], self.fallback[:, step[rare]])
             count += got & 1
             at = got >> 1
         return count
@@ -174,7 +208,7 @@ class Parser:
     def _decide(self, waiting: list, reject: bool) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(waiting)
-        blocks = np.concatenate([w[0] for w in waiting]) if waiting else np.zeros((0, BLOCK), np.uint16)
+        blocks = np.concatenate([w[0] for w in waiting]) if waiting else np.zeros((0, BLOCK), np.uint32)
         total = np.zeros((len(self.langs), len(blocks) + 1), np.int64)
         for i in range(0, len(blocks), 8192):
             total[:, i + 1 : i + 8193] = self.phrases(blocks[i : i + 8192])[:, : len(blocks) - i]
@@ -191,11 +225,12 @@ class Parser:
             if reject and n >= REJECT_CHARS and n / phrases[best] < REJECT_PHRASE:
                 out.append(("und", 0.0))
                 continue
-            # posterior of the codes' lengths, over at most 64 letters
-            out.append((self.langs[best], float(1 / np.exp2(-(rate - rate[best]) * min(n, 64)).sum())))
+            # posterior of the codes' lengths
+            out.append((self.langs[best], float(1 / np.exp2(-(rate - rate[best]) * n).sum())))
         return out
 
 
+@kept("langid")
 @lru_cache(maxsize=2)
 def _parser(trained: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(trained))
@@ -213,15 +248,14 @@ def identify(documents: DataFrame, trained: dict[str, str], text_col: str = "tex
     def run(batches):
         parser = _parser(model.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in parts(batch, index):
                 got = parser.predict(part.column(index).to_pylist(), reject)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                     names=[*part.schema.names, lang_out, score_out],
                 )
 
-    return passed.mapInArrow(run, schema)
+    return passed.mapInArrow(task("langid", run), schema)
 
 
 def op1(documents: DataFrame) -> DataFrame:
