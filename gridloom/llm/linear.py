@@ -9,27 +9,28 @@ def offsets_of(rows: list[np.ndarray]) -> np.ndarray:
     return np.cumsum([0, *map(len, rows)])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dim: int, cost: np.ndarray, passes: int = 30, seed: int = 1) -> tuple[np.ndarray, float]:
-    """L2-regularised squared-hinge linear SVM (the dual solver of Hsieh et al.
-    2008); y is -1 or 1, cost a row's C. The bias is a constant feature."""
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dim: int, cost: np.ndarray, passes: int = 20, seed: int = 1) -> tuple[np.ndarray, float]:
+    """L2-regularised SVM with the linear hinge loss (the dual solver of Hsieh et
+    al. 2008): each dual variable lies between 0 and its row's C and is moved to
+    its best place in turn. y is -1 or 1, cost a row's C. The bias is a constant
+    feature. Rows without features and tied rows are rows like others."""
     w, b = np.zeros(dim), 0.0
     alpha = np.zeros(len(rows))
-    diagonal = 0.5 / cost
-    square = np.array([v @ v for v in values]) + 1.0 + diagonal
+    square = np.array([v @ v for v in values]) + 1.0
     random = np.random.default_rng(seed)
     for _ in range(passes):
         worst = 0.0
         for i in random.permutation(len(rows)):
-            gradient = y[i] * (values[i] @ w[rows[i]] + b) - 1 + diagonal[i] * alpha[i]
-            if alpha[i] == 0 and gradient >= 0:
+            gradient = y[i] * (values[i] @ w[rows[i]] + b) - 1
+            if alpha[i] <= 0 and gradient >= 0 or alpha[i] >= cost[i] and gradient <= 0:
                 continue
-            new = max(alpha[i] - gradient / square[i], 0.0)
+            new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             worst = max(worst, abs(gradient))
             alpha[i] = new
             w[rows[i]] += step * values[i]
             b += step
-        if worst < 1e-3:
+        if worst < 1e-2:
             break
     return w, b
 

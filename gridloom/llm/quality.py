@@ -1,11 +1,15 @@
 """Quality classifier: a linear model on n-gram indicators scaled by naive Bayes
-log-count ratios (NB support vectors), solved by dual coordinate descent.
-
-The n-grams are over streams read off a whole text: its character classes with
-runs collapsed (orders 1 to 4), its words' echoes, i.e. whether a word equals
-the one (or the one but one) before (orders 1 to 4), and its lines' echoes
-(orders 1 to 3), and the share of lines seen before. They say the same in every
-language. An indicator is 1 if the n-gram occurs at all. Margins become scores
+log-count ratios (NB support vectors), with the hinge loss, solved by dual
+coordinate descent.
+
+The n-grams of a whole text are its words' (orders 1 and 2) and its letters'
+(order 4), without case, hashed into a fixed number of indicators; and those of
+streams that say the same in every language: its character classes with runs
+collapsed (orders 1 to 4), its words' echoes, i.e. whether a word equals the one
+(or the one but one) before (orders 1 to 4), its lines' echoes (orders 1 to 3),
+and the share of lines seen before. An indicator is 1 if the n-gram occurs at
+all. Words and letters count less in the margin than the streams, by
+``LEXICAL``, as each text has many more of them. Margins become scores
 by a logistic curve through out-of-fold margins, weighted back to the labels'
 true shares.
 
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .linear import dual_coordinate_descent, platt
 from .sampling import draw, held_out, learnable
+from .workers import kept, parts, task
 
 BUCKETS = 2048
 THRESHOLD = 0.7
@@ -39,10 +44,15 @@ _STARTS = np.cumsum([0, *(CLASSES**n for n in range(1, ORDERS + 1))])
 _ECHO = int(_STARTS[-1])
 _LINES = _ECHO + 2 * 30
 _SEEN = _LINES + 14
-DIM = _SEEN + 6
+_WORD = _SEEN + 6
+WORD_BITS, LETTER_BITS = 17, 16
+_LETTER = _WORD + (1 << WORD_BITS)
+DIM = _LETTER + (1 << LETTER_BITS)
+LEXICAL = 0.2
 PIECE = 4_000_000
 
 
+@kept("quality")
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     lut = np.full(0x110000, 9, np.uint8)
@@ -67,6 +77,17 @@ def _classes() -> np.ndarray:
     return lut
 
 
+@kept("quality")
+@lru_cache(maxsize=1)
+def _lower() -> np.ndarray:
+    lut = np.arange(0x110000, dtype=np.uint64)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isupper():
+            lut[i] = ord(c.lower()[0])
+    return lut
+
+
 _POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -93,6 +114,22 @@ def _flags(flags: np.ndarray, orders: int, base: int) -> list[np.ndarray]:
     return out
 
 
+def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _lexical(points: np.ndarray, letters: np.ndarray, found: np.ndarray) -> None:
+    """Words, pairs of words, and runs of four letters or other characters."""
+    low = _lower()[points]
+    words = _hashes(low, letters)
+    found[_WORD + _buckets(words, WORD_BITS)] = True
+    found[_WORD + _buckets(words[1:] * np.uint64(0x9E3779B97F4A7C15) + words[:-1], WORD_BITS)] = True
+    if len(low) >= 4:
+        k = np.uint64(0x100000001B3)
+        found[_LETTER + _buckets(((low[:-3] * k + low[1:-2]) * k + low[2:-1]) * k + low[3:], LETTER_BITS)] = True
+
+
 def features(text: str | None) -> np.ndarray:
     """Sorted indices of the indicators that a text has."""
     if not text:
@@ -109,6 +146,7 @@ def features(text: str | None) -> np.ndarray:
                 break
             code = code[: len(runs) - n + 1] * CLASSES + runs[n - 1 :]
             found[_STARTS[n - 1] + code] = True
+        _lexical(points, (kinds == 1) | (kinds == 2), found)
         words = _hashes(points, (kinds != 0) & (kinds != 8))
         for lag, base in ((1, _ECHO), (2, _ECHO + 30)):
             for idx in _flags((words[lag:] == words[:-lag]).astype(np.int64), 4, base):
@@ -122,20 +160,32 @@ def features(text: str | None) -> np.ndarray:
 
 
 def labelled_features(documents: DataFrame, sample: list[tuple], spark, extract, columns: str) -> list:
-    """Rows (label, *extract(text)) of the sampled ids, in a fixed order."""
+    """Rows (id, label, *extract(text)) of the sampled ids, in a fixed order. An
+    id's rows beyond the first, by their features, are left out: so many rows
+    come to the driver as were drawn, whatever ids repeat."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     drawn = spark.createDataFrame(sample, f"k {kind}, l int")
+    names = [n.split()[0] for n in columns.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in parts(batch, 2, 256):
                 rows = [extract(t) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x.tolist() for x in c], pa.list_(pa.int32())) for c in zip(*rows))], names=["k", "l", *(n.split()[0] for n in columns.split(", "))])
+                lists = []
+                for c in zip(*rows):
+                    ends = np.cumsum([0, *map(len, c)], dtype=np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["k", "l", *names])
 
     rows = documents.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).join(F.broadcast(drawn), "k").select("k", "l", "t")
-    got = rows.mapInArrow(run, f"k {kind}, l int, {columns}").toArrow()
-    return sorted(zip(*(got.column(c).to_pylist() for c in got.column_names)), key=lambda r: (r[0], r[1], r[2]))
+    found = rows.mapInArrow(task("labels", run), f"k {kind}, l int, {columns}")
+    got = found.groupBy("k", "l").agg(F.min(F.struct(*names)).alias("x")).select("k", "l", *[f"x.{n}" for n in names]).toArrow()
+    arrays = []
+    for n in names:
+        c = got.column(n).combine_chunks()
+        flat, ends = c.values.to_numpy(zero_copy_only=False).astype(np.int64), c.offsets.to_numpy()
+        arrays.append([flat[a:b] for a, b in zip(ends, ends[1:])])
+    return sorted(zip(got.column("k").to_pylist(), got.column("l").to_pylist(), *arrays), key=lambda r: (r[0], r[1]))
 
 
 def shares(labels: DataFrame, label: str) -> dict[int, int]:
@@ -145,7 +195,9 @@ def shares(labels: DataFrame, label: str) -> dict[int, int]:
 
 def _ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     p, q = (SMOOTH + np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == s] or [np.zeros(0, np.int64)]), minlength=DIM) for s in (1, 0))
-    return np.log((p / p.sum()) / (q / q.sum()))
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    ratio[_WORD:] *= LEXICAL
+    return ratio
 
 
 def _svm(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -164,11 +216,11 @@ def learn(spark, documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, f
     if len(set(y.tolist())) < 2:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return np.zeros(DIM), 0.0, 1.0, float(np.log(p / (1 - p)))
-    x = [np.array(r[2], np.int64) for r in rows]
+    x = [r[2] for r in rows]
     per = {c: (share if c else 1 - share) / (y == c).mean() for c in (0, 1)}
     weight = np.array([per[c] for c in y.tolist()])
     # copies share a fold: a fold is chosen by what the text looks like
-    fold = np.array([(len(r[2]) * 31 + sum(r[2][:50])) % FOLDS for r in rows])
+    fold = np.array([(len(r[2]) * 31 + int(r[2][:50].sum())) % FOLDS for r in rows])
     margin = np.zeros(len(rows))
     for k in range(FOLDS):
         inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
@@ -189,12 +241,11 @@ def score_column(documents: DataFrame, model: tuple, text_col: str = "text", out
     def run(batches):
         w, b, a, c = shipped.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in parts(batch, at):
                 margin = np.array([w[features(t)].sum() + b for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(a * margin + c, -500, 500))), pa.float64())], names=[*part.schema.names, out])
 
-    return passed.mapInArrow(run, T.StructType([*passed.schema.fields, T.StructField(out, T.DoubleType())]))
+    return passed.mapInArrow(task("quality", run), T.StructType([*passed.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op3(spark, documents: DataFrame, labels: DataFrame) -> DataFrame:
