@@ -37,6 +37,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, types as T
 
+from .workers import kept, parts, task
+
 SEED, RATE = 20_240_601, 0.1
 REMEMBERED = 700_000
 #: Longer units are not remembered.
@@ -418,6 +420,7 @@ def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+@kept("pieces")
 @lru_cache(maxsize=2)
 def encoder(model_file: str, seed: int, rate: float) -> Encoder:
     return Encoder(model_file, seed, rate)
@@ -442,8 +445,7 @@ def encode_column(
     def run(batches):
         coder = encoder(place, seed, rate)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in parts(batch, at):
                 keys, texts = part.column(key_at).to_pylist(), part.column(at).to_pylist()
                 ids = coder.encode(texts, keys)
                 for t, got in zip(texts, ids):
@@ -451,7 +453,7 @@ def encode_column(
                         raise ValueError("a segmentation lost its text")
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, out])
 
-    return passed.mapInArrow(run, schema)
+    return passed.mapInArrow(task("pieces", run), schema)
 
 
 def op5(documents: DataFrame, seed: int = SEED, rate: float = RATE, model_file: str | None = None) -> DataFrame:
@@ -462,12 +464,12 @@ def op5(documents: DataFrame, seed: int = SEED, rate: float = RATE, model_file:
     def run(batches):
         coder = encoder(place, seed, rate)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                keys, texts = (c.to_pylist() for c in batch.slice(i, 512).columns)
+            for part in parts(batch, 1):
+                keys, texts = (c.to_pylist() for c in part.columns)
                 rows = []
                 for key, text, ids in zip(keys, texts, coder.encode(texts, keys)):
                     rows.append((key, len((text or "").encode()), len(ids) // 4, hashlib.sha256(ids).hexdigest(), coder.pieces.decode(ids) == (text or "")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["doc_id", "n_bytes", "n_pieces", "ids_sha256", "round_trip"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_pieces long, ids_sha256 string, round_trip boolean")
+    return documents.select("doc_id", "text").mapInArrow(task("pieces", run), f"doc_id {kind}, n_bytes long, n_pieces long, ids_sha256 string, round_trip boolean")
