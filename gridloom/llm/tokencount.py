@@ -11,14 +11,18 @@ the segmentation of every prefix is unique.
 
 States and transitions are compiled when first met, into a table of bounded
 size that starts afresh when it is full; so is every worker's memory bounded.
+Frequent letters have a column of a dense table, the others' transitions are in
+a hash table; characters that no piece holds behave alike by their bytes.
 
-Texts are cut into chunks of ``CHUNK`` characters that run in lock-step. A space
-after a letter resets the transducer, so a chunk with such a space has a map
-whose end state doesn't depend on its begin: these run at once. The characters
-before a chunk's first reset wait for the state in which the chunk before ends.
-A scan composes the maps: all chunks whose predecessor's end is known run
-together, again and again, until none is left (chunks without any reset, in
-texts without spaces, take a round each).
+Texts are cut into chunks of ``CHUNK`` characters that run in lock-step, and
+the chunks' state maps compose. A space after a letter resets the transducer:
+from its first reset on, a chunk's end doesn't depend on its begin, and its map
+there is constant. A chunk without such a space is run from the initial state
+first, with its path kept; a run from another begin state soon meets that path
+and then shares its end, so nearly all of its map is constant too. So all
+chunks' ends are known at once; a scan runs what comes before a reset, or before
+the paths meet, from the end of the chunk before, for all chunks together, and
+again only for successors of chunks whose end turned out to be another.
 
 Defined results: a null text counts as empty, 0 tokens. Rows with null ids and
 repeated rows are counted like others; further columns are ignored.
@@ -33,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pieces import default_model, pieces
+from .workers import kept, task
 
 CHUNK = 256
-#: Letters that have a column of the table; texts with others take a slower way.
+#: Letters that have a column of the dense table; others' transitions are hashed.
 WIDTH = 128
+#: Bits of a table entry that hold the change of the count.
+BITS = 8
 STATES = 120_000
 #: Up to so many tokens below a place in the trie, left neighbours are told apart
 #: by which of these fit them only.
@@ -63,7 +70,8 @@ class Counter:
         self.texts = self.p.texts
         self.below: dict[int, tuple[int, ...] | None] = {}
         self.codes = {" ": SPACE}
-        self.lut = np.zeros(0x110000, np.uint8)
+        self.lut = np.zeros(0x110000, np.uint16)
+        self.unknown: dict[int, int] = {}
         self.lut[ord(" ")] = SPACE
         self.letters = [None, " "]
         self._fresh()
@@ -72,7 +80,7 @@ class Counter:
         self.configs: list[tuple] = []
         self.index: dict[tuple, int] = {}
         self.table = np.full((1024, WIDTH), -1, np.int32)
-        self.rare: dict[tuple[int, str], int] = {}
+        self.keys, self.values, self.held = np.full(1 << 14, -1, np.int64), np.zeros(1 << 14, np.int32), 0
         self.same: dict[tuple[int, int], int | None] = {}
         self.likes: dict[tuple, int] = {}
         self.state(((0, -1, 0),))
@@ -84,7 +92,7 @@ class Counter:
             self.configs.append(config)
             if got >= len(self.table):
                 self.table = np.concatenate([self.table, np.full((len(self.table), WIDTH), -1, np.int32)])
-            self.table[got, PAD] = got << 5 | 16
+            self.table[got, PAD] = got << BITS | 1 << BITS - 1
         return got
 
     def _fit(self, last: int, token: int) -> bool:
@@ -136,74 +144,127 @@ class Counter:
         return (*fresh, (0, last, 0)), now
 
     def compiled(self, state: int, c: str) -> int:
-        """next state << 5 | count's change + 16"""
+        """next state << BITS | count's change + 2^(BITS - 1)"""
         config = self.configs[state]
         if c == " " and config[-1][0] == 0 and config[-1][1] >= 0 and self.texts[config[-1][1]][-1] != " ":
             nxt, change = self.step(0, c)  # a reset
         else:
             nxt, change = self.step(state, c)
-        return self.state(nxt) << 5 | change + 16
+        half = 1 << BITS - 1
+        if not -half <= change < half:
+            raise ValueError("a vocabulary whose pieces are too long for the table")
+        return self.state(nxt) << BITS | change + half
 
-    def encode(self, text: str) -> np.ndarray | None:
-        """Codes of a text; None if it has letters beyond the table's width."""
+    def encode(self, text: str) -> np.ndarray:
+        """Codes of a text."""
         points = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self.lut[points]
         if (codes == 0).any():
-            for c in np.unique(points[codes == 0]).tolist():
-                if len(self.letters) >= WIDTH:
-                    return None
-                self.lut[c] = len(self.letters)
-                self.letters.append(chr(c))
+            for p in np.unique(points[codes == 0]).tolist():
+                c = chr(p)
+                size = 0 if c in self.p.chars else len(c.encode("utf-8", "surrogatepass"))
+                code = self.unknown.get(size) if size else None
+                if code is None:
+                    code = len(self.letters)
+                    self.letters.append(c)
+                    if size:
+                        self.unknown[size] = code
+                self.lut[p] = code
             codes = self.lut[points]
         return codes
 
-    def slowly(self, text: str) -> int:
-        state, total = 0, 0
-        for c in " " + text:
-            got = self.rare.get((state, c))
-            if got is None:
-                if len(self.configs) >= STATES or len(self.rare) >= 4 * STATES:
-                    config = self.configs[state]
-                    self._fresh()
-                    state = self.state(config)
-                got = self.rare[state, c] = self.compiled(state, c)
-            total += (got & 31) - 16
-            state = got >> 5
-        return total
-
-    def run(self, lanes: np.ndarray, begin: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is in the hash table, or the free place for it."""
+        mask = len(self.keys) - 1
+        at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & mask
+        left = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & mask
+            left = left[(self.keys[at[left]] != keys[left]) & (self.keys[at[left]] >= 0)]
+        return at
+
+    def _rare(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Entries of letters beyond the dense table."""
+        keys = at.astype(np.int64) << 16 | codes
+        slots = self._slots(keys)
+        missing = np.unique(keys[self.keys[slots] < 0])
+        for key in missing.tolist():
+            made = self.compiled(key >> 16, self.letters[key & 0xFFFF])
+            if 2 * self.held >= len(self.keys):
+                old, values = self.keys, self.values
+                self.keys, self.values = np.full(2 * len(old), -1, np.int64), np.zeros(2 * len(old), np.int32)
+                for k, v in zip(old[old >= 0].tolist(), values[old >= 0].tolist()):
+                    self._put(k, v)
+            self._put(key, made)
+            self.held += 1
+        return self.values[self._slots(keys) if len(missing) else slots]
+
+    def _put(self, key: int, value: int) -> None:
+        slot = self._slots(np.array([key], np.int64))[0]
+        self.keys[slot], self.values[slot] = key, value
+
+    def entries(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The table's entries for states and letters, compiled where new."""
+        rare = codes >= WIDTH
+        if rare.any():
+            got = np.empty(len(at), np.int32)
+            got[rare] = self._rare(at[rare], codes[rare])
+            if not rare.all():
+                got[~rare] = self.entries(at[~rare], codes[~rare])
+            return got
+        got = self.table[at, codes]
+        if (got < 0).any():
+            for x in np.unique(at[got < 0].astype(np.int64) * WIDTH + codes[got < 0]).tolist():
+                s, c = divmod(x, WIDTH)
+                made = self.compiled(s, self.letters[c])  # may move the table
+                self.table[s, c] = made
+            got = self.table[at, codes]
+        return got
+
+    def run(self, lanes: np.ndarray, begin: np.ndarray, lengths: np.ndarray | None = None, path: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """End states and counts of lanes (one a row) from their begin states.
-        lengths: descending, where lanes end early."""
+        lengths: descending, where lanes end early; path: gets the states and
+        counts after each step."""
         at, total = begin.astype(np.int32), np.zeros(len(begin), np.int64)
         for k, codes in enumerate(np.ascontiguousarray(lanes.T)):
             n = len(at) if lengths is None else int(np.searchsorted(-lengths, -k, side="left"))
             if not n:
                 break
-            codes = codes[:n]
-            got = self.table[at[:n], codes]
-            if (got < 0).any():
-                for x in np.unique(at[:n][got < 0].astype(np.int64) * WIDTH + codes[got < 0]).tolist():
-                    s, c = divmod(x, WIDTH)
-                    made = self.compiled(s, self.letters[c])  # may move the table
-                    self.table[s, c] = made
-                got = self.table[at[:n], codes]
-            total[:n] += (got & 31) - 16
-            at[:n] = got >> 5
+            got = self.entries(at[:n], codes[:n])
+            total[:n] += (got & (1 << BITS) - 1) - (1 << BITS - 1)
+            at[:n] = got >> BITS
+            if path is not None:
+                path.append((at.copy(), total.copy()))
         return at, total
 
+    def rejoin(self, lanes: np.ndarray, begin: np.ndarray, path: list, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``run``, but lanes stop where they meet the path of the run from the
+        initial state (their place in it is given) and take over its end."""
+        end, total = begin.astype(np.int32), np.zeros(len(begin), np.int64)
+        left = np.arange(len(begin))
+        for k in range(lanes.shape[1]):
+            got = self.entries(end[left], lanes[left, k])
+            total[left] += (got & (1 << BITS) - 1) - (1 << BITS - 1)
+            end[left] = got >> BITS
+            states, counts = path[k]
+            met = end[left] == states[place[left]]
+            done = left[met]
+            total[done] += path[-1][1][place[done]] - counts[place[done]]
+            end[done] = path[-1][0][place[done]]
+            left = left[~met]
+            if not len(left):
+                break
+        return end, total
+
     def counts(self, texts: list[str | None]) -> list[int]:
         out, coded, where = [0] * len(texts), [], []
         for i, text in enumerate(texts):
             if text:
                 text = text.replace("\u2581", " ")  # the library's own mark of a space
-                codes = self.encode(text)
-                if codes is None:
-                    out[i] = self.slowly(text)
-                else:
-                    coded.append(codes)
-                    where.append(i)
+                coded.append(self.encode(text))
+                where.append(i)
         if coded:
-            if len(self.configs) > STATES - STATES // 4:
+            if len(self.configs) > STATES - STATES // 4 or self.held > 4 * STATES:
                 self._fresh()
             for i, n in zip(where, self._scan(coded)):
                 out[i] = n
@@ -211,7 +272,7 @@ class Counter:
 
     def _scan(self, coded: list[np.ndarray]) -> list[int]:
         rows = [-(-len(c) // CHUNK) for c in coded]
-        lanes = np.zeros((sum(rows), CHUNK), np.uint8)
+        lanes = np.zeros((sum(rows), CHUNK), np.uint16)
         first = np.zeros(len(lanes), bool)
         at = 0
         for c, n in zip(coded, rows):
@@ -228,19 +289,31 @@ class Counter:
         head = np.where(has, reset.argmax(axis=1), (lanes != PAD).sum(axis=1))
         place = np.arange(CHUNK)
         end, total = self.run(np.where(place >= head[:, None], lanes, PAD), np.zeros(len(lanes), np.int32))
-        known, todo = has.copy(), np.flatnonzero(~first & (head > 0))
+        alone = np.flatnonzero(~has)
+        place, path = np.zeros(len(lanes), np.int64), []
+        if len(alone):
+            place[alone] = np.arange(len(alone))
+            end[alone], total[alone] = self.run(lanes[alone], np.zeros(len(alone), np.int32), path=path)
+        before_reset = np.zeros(len(lanes), np.int64)
+        todo = np.flatnonzero(~first & (head > 0))
         while len(todo):
-            ready = todo[known[todo - 1]]
-            ready = ready[np.argsort(-head[ready], kind="stable")]
-            got, more = self.run(lanes[ready], end[ready - 1], head[ready])
-            total[ready] += more
-            alone = ~has[ready]
-            end[ready[alone]] = got[alone]
-            known[ready] = True
-            todo = np.setdiff1d(todo, ready, assume_unique=True)
-        return np.add.reduceat(total, np.flatnonzero(first)).tolist()
+            some = todo[has[todo]]
+            some = some[np.argsort(-head[some], kind="stable")]
+            _, before_reset[some] = self.run(lanes[some], end[some - 1], head[some])
+            rest = todo[~has[todo]]
+            moved = rest[:0]
+            if len(rest):
+                old = end[rest]
+                new, total[rest] = self.rejoin(lanes[rest], end[rest - 1], path, place[rest])
+                end[rest] = new
+                moved = rest[new != old]
+            # chunks that were run from an end that has changed
+            todo = moved[moved + 1 < len(lanes)] + 1
+            todo = todo[~first[todo] & (head[todo] > 0)]
+        return np.add.reduceat(total + before_reset, np.flatnonzero(first)).tolist()
 
 
+@kept("tokencount")
 @lru_cache(maxsize=2)
 def counter(model_file: str) -> Counter:
     return Counter(model_file)
@@ -268,4 +341,4 @@ def op7(documents: DataFrame, model_file: str | None = None) -> DataFrame:
                 start = stop
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return documents.select("doc_id", "text").mapInArrow(task("tokencount", run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
