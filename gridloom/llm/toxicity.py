@@ -1,6 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
-A sparse logistic model on word and word-beginning indicators. Of every
+A sparse logistic model on indicators of words, of any length, and of their
+beginnings (``SHORTEST`` to ``LONGEST`` letters), hashed into 2^``BITS``. Of every
 labelled text that names a group, a counterfactual is made by swapping each
 identity term for another of its set; the loss adds a penalty on the squared
 change of the score's logit, so what the groups' names weigh goes to what the
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame, functions as F
 from .linear import platt
 from .quality import labelled_features, shares
 from .sampling import draw, held_out, learnable
+from .workers import kept, parts, task
 
 BUCKETS = 2048
 THRESHOLD = 0.3
 BITS = 20
 SHORTEST, LONGEST = 4, 12
-#: Indicators kept at most, and for each row of the sample; the L1 weight falls
-#: with the sample too, as the noise of a weight does.
-FEATURES, FEATURES_A_ROW = 20_000, 3
+#: An indicator is fitted if its shares in the two labels differ by so many
+#: standard errors; the L1 weight falls with the sample, as a weight's noise does.
+TELLS = 1.0
 L1, COUNTERFACTUAL, STEPS = 0.6, 0.5, 150
 
 # Identity terms; a swap takes the next of the same line.
@@ -58,9 +60,13 @@ def counterfactual(text: str) -> str:
     return _TERM.sub(lambda m: SWAP[m[0].lower()], text)
 
 
+_POWERS = np.cumprod(np.full(1024, 0x100000001B3, np.uint64))
+
+
+@kept("toxicity")
 @lru_cache(maxsize=1)
 def _lower() -> np.ndarray:
-    lut = np.zeros(0x110000, np.uint32)
+    lut = np.zeros(0x110000, np.uint64)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
@@ -85,13 +91,16 @@ def _indices(text: str | None) -> np.ndarray:
         x = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
         return ((x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
 
+    place = np.arange(len(at)) - np.repeat(np.flatnonzero(first), sizes)
+    # beyond 1024 letters of a word the powers repeat, with the round added in
+    whole = np.add.reduceat((letters[at] + (place >> 10).astype(np.uint64)) * _POWERS[place & 1023], np.flatnonzero(first))
+    out.append(mixed(whole, 100))
     for k in range(1, LONGEST + 1):
         here = sizes >= k
         begins, sizes, h = begins[here], sizes[here], h[here]
         if not len(begins):
             break
         h = h * np.uint64(0x100000001B3) + letters[begins + (k - 1)]
-        out.append(mixed(h[sizes == k], 100 + k))
         if k >= SHORTEST:
             out.append(mixed(h, k))
     return np.concatenate(out)
@@ -167,22 +176,19 @@ def learn(spark, documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, f
     if len(set(y.tolist())) < 2:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p)))
-    x = [np.array(r[2], np.int64) for r in rows]
-    swapped = [np.array(r[3], np.int64) for r in rows]
+    x, swapped = [r[2] for r in rows], [r[3] for r in rows]
     # the indicators that tell the labels apart best
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     a, c = (np.bincount(np.concatenate([r for r, v in zip(x, y) if v == s]), minlength=1 << BITS) for s in (1, 0))
     p, q = (a + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1)
     worth = np.where(a + c >= 3, np.abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0 + 1e-9), 0)
-    most = min(FEATURES, FEATURES_A_ROW * len(y))
-    chosen = np.sort(np.argsort(-worth, kind="stable")[:most])
-    chosen = chosen[worth[chosen] > 0]
+    chosen = np.flatnonzero(worth >= TELLS)
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     x, swapped = ([place[r][place[r] >= 0] for r in rows_] for rows_ in (x, swapped))
     per = {v: (share if v else 1 - share) / (y == v).mean() for v in (0, 1)}
     weight = np.array([per[v] for v in y.tolist()])
-    margin, fold = np.zeros(len(y)), np.array([(len(r[2]) * 31 + sum(r[2][:50])) % 2 for r in rows])
+    margin, fold = np.zeros(len(y)), np.array([(len(r[2]) * 31 + int(r[2][:50].sum())) % 2 for r in rows])
     for k in (0, 1):
         inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(outside) and len(set(y[inside].tolist())) == 2:
@@ -208,8 +214,7 @@ def op8(spark, documents: DataFrame, labels: DataFrame) -> DataFrame:
         some = np.zeros(1 << BITS, bool)
         some[used] = True
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in parts(batch, 1):
                 margin = np.zeros(part.num_rows)
                 for k, text in enumerate(part.column(1).to_pylist()):
                     idx = _indices(text)
@@ -217,5 +222,5 @@ def op8(spark, documents: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(slope * margin + shift, -500, 500))))], names=["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    scored = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = documents.select("doc_id", "text").mapInArrow(task("toxicity", run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
