@@ -21,10 +21,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .workers import parts, task
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
@@ -49,11 +52,13 @@ _ARTICLE = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|page|post
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "score", "text", "linked", "bonus", "order", "paragraph")
+    __slots__ = ("tag", "parent", "dropped", "score", "passed", "text", "linked", "bonus", "order", "block", "kept")
 
     def __init__(self, tag, parent, dropped, bonus, order):
         self.tag, self.parent, self.dropped, self.bonus, self.order = tag, parent, dropped, bonus, order
-        self.score, self.text, self.linked, self.paragraph = 0.0, 0, 0, False
+        self.score, self.passed, self.text, self.linked, self.kept = 0.0, 0.0, 0, 0, False
+        #: The nearest block element, this one included.
+        self.block = self if parent is None or tag in BLOCK else parent.block
 
 
 def _attributes(tag: str, text: str) -> tuple[bool, float]:
@@ -80,30 +85,35 @@ def _attributes(tag: str, text: str) -> tuple[bool, float]:
 
 
 def parse(page: str) -> tuple[list[_Node], list[tuple[str, _Node, int]]]:
-    """Elements, and blocks (text, element, characters inside links)."""
+    """Elements, and blocks (text, element, characters inside links). Counts of
+    the open elements by name spare the searches that would find none, so deep
+    nesting costs no more than its length."""
     root = _Node("#", None, False, 0.0, 0)
     nodes, blocks, stack = [root], [], [root]
     buffer: list[str] = []
-    state = {"linked": 0, "size": 0}
-    links = 0
+    state = {"linked": 0}
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack
+    containers: list[int] = []
 
     def flush():
         if buffer:
             text = _SPACE.sub(" ", "".join(buffer)).strip()
             if text:
-                at = stack[-1]
-                while at.tag not in BLOCK and at.parent is not None:
-                    at = at.parent
-                blocks.append((text, at, min(state["linked"], len(text))))
+                blocks.append((text, stack[-1].block, min(state["linked"], len(text))))
             buffer.clear()
             state["linked"] = 0
 
+    def drop(upto: int):
+        for x in reversed(stack[upto:]):
+            if x.tag[0] != "#":
+                opened[x.tag].pop()
+            if x.tag in BLOCK:
+                containers.pop()
+        del stack[upto:]
+
     def close(upto: int):
-        nonlocal links
         flush()
-        for n in stack[upto:]:
-            links -= n.tag == "a"
-        del stack[upto:]
+        drop(upto)
 
     at, n = 0, len(page)
     while at < n:
@@ -121,42 +131,34 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[str, _Node, int]]]:
             if not stack[-1].dropped:
                 text = html.unescape(text) if "&" in text else text
                 buffer.append(text)
-                if links:
+                if opened["a"]:
                     state["linked"] += len(text.strip())
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if slash:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag in BLOCK:
-                        close(k)
-                    elif any(x.tag in BLOCK for x in stack[k + 1 :]):
-                        if stack[k].tag == "a":
-                            links -= 1
-                            stack[k].tag = "#a"
-                    else:
-                        for x in stack[k:]:
-                            links -= x.tag == "a"
-                        del stack[k:]
-                    break
-            else:
+            if not opened[tag]:
                 if tag in ("p", "br"):
                     flush()
+                continue
+            k = opened[tag][-1]
+            if tag in BLOCK:
+                close(k)
+            elif containers and containers[-1] > k:  # a block is open within: the element ends, but stays its parent
+                opened[tag].pop()
+                stack[k].tag = "#" + tag
+            else:
+                drop(k)
             continue
         if tag == "br":
             if not stack[-1].dropped:
                 buffer.append(" ")
             continue
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        if tag in SAME_CLOSES:
+        # a paragraph that no other block is open within
+        if tag in BLOCK and opened["p"] and opened["p"][-1] == containers[-1]:
+            close(opened["p"][-1])
+        if tag in SAME_CLOSES and any(opened[x] for x in SAME_CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in SCOPE[tag]:
                     break
@@ -173,7 +175,9 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[str, _Node, int]]]:
         if attributes.endswith("/") and tag in ("svg", "math"):
             continue
         stack.append(node)
-        links += tag == "a"
+        opened[tag].append(len(stack) - 1)
+        if tag in BLOCK:
+            containers.append(len(stack) - 1)
         if tag in RAW and tag not in ("svg", "math", "object"):
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             at = end.start() if end else n
@@ -189,22 +193,23 @@ def extract(page: str | None) -> str:
     nodes, blocks = parse(page)
     if not blocks:
         return ""
-    points: dict[int, float] = {}
     for text, node, linked in blocks:
-        up = node
-        while up is not None:
-            up.text += len(text)
-            up.linked += linked
-            up = up.parent
+        node.text += len(text)
+        node.linked += linked
         heading = len(node.tag) == 2 and node.tag[0] == "h"
         if len(text) < 25 or heading:
             continue
         worth = (1.0 + text.count(",") + min(len(text) // 100, 3)) * (1.0 - linked / len(text))
-        up, level = node.parent if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") and node.parent is not None else node, 1.0
-        while up is not None:
-            up.score += worth / level
-            level = 2.0 if level == 1.0 else level * 3.0
-            up = up.parent
+        up = node.parent if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") and node.parent is not None else node
+        up.score += worth
+    # children come after their parents: what they pass on arrives before it is passed on
+    for node in reversed(nodes):
+        up = node.parent
+        if up is not None:
+            up.text += node.text
+            up.linked += node.linked
+            up.passed += node.score / 2 + node.passed / 3
+        node.score += node.passed
     for node in nodes:
         if node.score:
             extra = {"article": 25.0, "main": 15.0, "body": -5.0, "html": -5.0, "#": -5.0}.get(node.tag, 0.0) + node.bonus
@@ -212,18 +217,26 @@ def extract(page: str | None) -> str:
     best = max(nodes, key=lambda n: (n.score, -n.order))
     if best.score <= 0:
         return "\n".join(text for text, _, _ in blocks)
-    kept = {id(best)}
+    best.kept = True
+    beside = [n for n in nodes if n.parent is best.parent and n.text and best.parent is not None]
+    chosen = {best.order}
+    for node in beside:
+        density = node.linked / node.text
+        if node.score >= max(10.0, best.score * 0.2) or node.tag == "p" and (density < 0.25 and node.text > 80 or density == 0 and node.text > 25):
+            node.kept = True
+            chosen.add(node.order)
+    for node in beside:  # headings, lists and short paragraphs between what is kept
+        node.kept |= min(chosen) < node.order < max(chosen) and node.linked < 0.5 * node.text
+    kept, inside = {}, {}
     for node in nodes:
-        if node.parent is best.parent and node is not best and best.parent is not None and node.text:
-            density = node.linked / node.text
-            if node.score >= max(10.0, best.score * 0.2) or node.tag == "p" and (density < 0.25 and node.text > 80 or density == 0 and node.text > 25):
-                kept.add(id(node))
+        above = node.parent.order if node.parent is not None else None
+        kept[node.order] = node.kept or (above is not None and kept[above])
+        inside[node.order] = node is best or (above is not None and inside[above])
     out = []
-    for text, node, linked in blocks:
-        up = node
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None and not (linked > 0.8 * len(text) and len(text) < 100 and node.tag in ("li", "div", "ul", "td")):
+    for text, node, _ in blocks:
+        # beside the best container, lists of links are left out whole
+        links = not inside[node.order] and node.tag in ("li", "ul", "ol") and node.linked > 0.8 * node.text
+        if kept[node.order] and not links:
             out.append(text)
     return "\n".join(out)
 
@@ -233,10 +246,9 @@ def op9(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in parts(batch, 2):
                 texts = [extract(p) for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(task("html", run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
