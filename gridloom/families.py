@@ -218,3 +218,24 @@ def workbook_references(spark, d):
     more = heads.select("book", F.lit("Sheet1").alias("sheet"), F.lit(0).alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(f).alias("content")) for c, f in made.items()])).alias("c")).select("book", "sheet", "row", "c.column", "c.content")
     got = spread(evaluated(cells.unionByName(more)), {4: "sheets_rows", 5: "last", 6: "twice", 7: "spilled"}).where("row = 0")
     return got.select("book", "sheets_rows", "last", "twice", "spilled")
+
+
+@_query("SELECT " + ", ".join(f"CAST(sum(range * {k + 1} % 97) AS DOUBLE) AS c{k}" for k in range(100)) + " FROM range(1000)")
+def column_sums(spark, d):
+    """A hundred columns of a thousand values, each with its SUM."""
+    sheet = spark.range(1000).select(*[(F.col("id") * (k + 1) % 97).cast("double").alias(f"c{k}") for k in range(100)])
+    return Table(sheet).measures({f"c{k}": f"=SUM([c{k}])" for k in range(100)})
+
+
+@_query("SELECT range AS place, CAST(range + 1 AS DOUBLE) AS value FROM range(50000)")
+def chain_of_cells(spark, d):
+    """Fifty thousand cells, each one more than the cell above: the recurrence as
+    a sum over an expanding range."""
+    return Table(spark.range(50_000).select(F.col("id").alias("place"), F.lit(1.0).alias("step")), ["place"]).running("value", "step", "place").select("place", "value")
+
+
+@_query("SELECT 'ATAN2' AS name, 2 AS least, 2 AS most, 'scalar' AS mode, false AS volatile, true AS expression UNION ALL SELECT 'OFFSET', 3, 5, 'lazy', true, false UNION ALL SELECT 'SUMIFS', 3, 255, 'range', false, false")
+def function_catalogue(spark, d):
+    from .functions.catalogue import catalogue_table
+
+    return catalogue_table(spark).where(F.col("name").isin("ATAN2", "OFFSET", "SUMIFS"))

@@ -1,0 +1 @@
+"""Formulas over streams."""
