@@ -19,7 +19,8 @@ The benchmark is broadcast only if its shingles number at most
 
 Defined results: texts and items that are null or have no word match nothing.
 An item of fewer than five words is one shingle, its whole sequence. Rows with
-a null id are ignored. Rows that repeat an id give their best match together.
+a null id are ignored by ``matches``, rows that repeat an id give their best
+match together; ``without_leaks`` judges each text.
 Equal items each match. Further columns are ignored.
 """
 
@@ -27,6 +28,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .scratch import Scratch
+
 SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS, BLOCKS = 15, 16
@@ -135,6 +138,9 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) ->
 
 
 def without_leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without those that hold a benchmark item."""
-    leaks = matches(spark, documents, benchmark).select("doc_id").distinct()
-    return documents.join(leaks, "doc_id", "left_anti").select(documents.columns)
+    """``documents`` without those that hold a benchmark item. A row is judged by
+    its text alone, so rows without an id, or with another's, are too."""
+    keyed = documents.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = Scratch(spark, "decontam").keep(matches(spark, keyed, benchmark).select(F.col("doc_id").alias("_gridloom_leak")).distinct(), "leaks")
+    few = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
+    return documents.join(few, F.col("text").isNotNull() & (F.xxhash64("text") == F.col("_gridloom_leak")), "left_anti").select(documents.columns)

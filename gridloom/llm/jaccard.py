@@ -428,9 +428,11 @@ def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
     some = nodes.where("key is not null").join(classed, "key")
     first = some.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
     chosen = first.withColumn("one", F.lit(True)).union(nodes.where("key is null").select("doc_id", "h").distinct().withColumn("one", F.lit(False)))
-    chosen = Scratch(spark, "chosen").keep(chosen.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("one").alias("_one")), "chosen")
-    kept = documents.withColumn("_text", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")), "inner")
+    mine = {c: f"_gridloom_{c}" for c in ("doc_id", "h", "one")}  # beside whatever columns there are
+    chosen = Scratch(spark, "chosen").keep(chosen.select(*[F.col(c).alias(n) for c, n in mine.items()]), "chosen")
+    kept = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col(mine["doc_id"])) & (F.xxhash64("text") == F.col(mine["h"])), "inner")
     again = nodes.where("key is not null").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
     if not again.isEmpty():  # rows that repeat an id and its text
-        kept = kept.where("not _one").unionByName(kept.where("_one").dropDuplicates(["_id", "_h"]))
-    return kept.select(*[documents[c] for c in documents.columns])
+        one = F.col(mine["one"])
+        kept = kept.where(~one).unionByName(kept.where(one).dropDuplicates([mine["doc_id"], mine["h"]]))
+    return kept.select(documents.columns)

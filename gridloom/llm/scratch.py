@@ -24,7 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    # with its scheme: a path without one means the default file system, not each executor's disk
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+    return str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)).rstrip("/")
 
 
 class Scratch:

@@ -24,6 +24,7 @@ makes no bundle. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 
@@ -44,6 +45,8 @@ _SEEK_ENTRY, _SEEK_FOOTER = struct.Struct("<II"), struct.Struct("<IBI")
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that the driver has qualified with its scheme."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
     if "://" not in path and not path.startswith("file:"):
         return pafs.LocalFileSystem(), path
     if path.startswith("file:"):
