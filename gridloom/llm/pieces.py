@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, types as T
 from .workers import kept, parts, task
 
 SEED, RATE = 20_240_601, 0.1
-REMEMBERED = 700_000
+REMEMBERED = 150_000
 #: Longer units are not remembered.
 LONGEST = 32
 _UNIT = re.compile(r" *[^ ]+| +")
