@@ -9,8 +9,9 @@ group, so any number of measures share one partial and one final aggregation.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.values import Value, criterion, error_if, guarded
 
@@ -218,6 +219,78 @@ def conditional(name: str, target: Value | None, pairs: list[tuple[Value, object
     return guarded(F.coalesce((F.max if name == "MAXIFS" else F.min)(x), F.lit(0.0)), "n", err)
 
 
+# -- functions of two passes: a table of one row a group goes before -----------
+@dataclass(frozen=True)
+class Side:
+    """A column ``name`` of one value a group, which the rows must have before
+    they are aggregated. places: the formula's arguments in order, each a range
+    or the numbers of a constant."""
+
+    name: str
+    function: str
+    places: list[tuple[Value | None, list[float]]]
+
+    def ranges(self) -> list[Value]:
+        return [v for v, _ in self.places if v is not None]
+
+    def extra(self) -> list[float]:
+        return [x for _, xs in self.places for x in xs]
+
+    def cols(self) -> list[Column]:
+        return [F.when(~F.isnan(nums(v)), nums(v)) for v in self.ranges()]
+
+    def table(self, df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+        """(*by, name)"""
+        return self._means(df, by) if self.function == "AVEDEV" else self._modes(df, by, order)
+
+    def _means(self, df: DataFrame, by: list[str]) -> DataFrame:
+        cols, extra = self.cols(), self.extra()
+        return df.groupBy(*by).agg(F.try_divide(_sum(cols, extra), _count(cols, extra)).alias(self.name))
+
+    def _modes(self, df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+        """Each value is counted first, then a group's counts compared; of equal
+        ones that which reaches its count first, as the arguments and rows come."""
+        keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+        at = [F.col(c).alias(f"o{k}") for k, c in enumerate(order)]
+        none = [F.lit(None).cast(df.schema[c].dataType).alias(f"o{k}") for k, c in enumerate(order)]
+        cells, fixed, cols = [], [], iter(self.cols())
+        for i, (v, xs) in enumerate(self.places):
+            if v is not None:
+                cells.append(F.struct(next(cols).alias("x"), F.struct(F.lit(i).alias("i"), F.lit(0).alias("k"), *at).alias("at")))
+            fixed += [F.struct(F.lit(x).alias("x"), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), *none).alias("at")) for k, x in enumerate(xs)]
+        found = df.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*[f"_g{i}" for i in range(len(by))], "c.x", "c.at")
+        if fixed:
+            groups = df.groupBy(*keys).agg(F.lit(1).alias("one"))
+            found = found.union(groups.select(*[f"_g{i}" for i in range(len(by))], F.explode(F.array(*fixed)).alias("c")).select(*[f"_g{i}" for i in range(len(by))], "c.x", "c.at"))
+        group = [f"_g{i}" for i in range(len(by))]
+        counts = found.where("x is not null").groupBy(*group, "x").agg(F.count("*").alias("n"), F.max("at").alias("last")).where("n > 1")
+        best = F.min(F.struct((-F.col("n")).alias("n"), "last", "x"))["x"]
+        return counts.groupBy(*group).agg(best.alias(self.name)).select(*[F.col(g).alias(c) for g, c in zip(group, by)], self.name)
+
+
+def _mode(side: Side, order: list[str]) -> Value:
+    extra = side.extra()
+    alone = [x for i, x in enumerate(extra) if x in extra[:i]]  # what no row at all leaves
+    upto = {x: max(i for i, y in enumerate(extra) if y == x) for x in alone}
+    fixed = min(upto, key=lambda x: (-extra.count(x), upto[x]), default=None)
+    got = F.coalesce(F.first(F.col(side.name), ignorenulls=True), F.lit(fixed).cast("double"))
+    return guarded(got, "n", first_error_of(side.ranges(), order), error_if(got.isNull(), "#N/A"))
+
+
+def _avedev(side: Side, order: list[str]) -> Value:
+    cols, extra = side.cols(), side.extra()
+    mean = F.coalesce(F.first(F.col(side.name), ignorenulls=True), F.lit(math.fsum(extra) / len(extra) if extra else None).cast("double"))
+    total = _total(cols, lambda c: F.sum(F.abs(c - F.col(side.name))), 0.0)
+    for x in extra:
+        total = total + F.abs(F.lit(float(x)) - mean)
+    n = _count(cols, extra)
+    return guarded(F.try_divide(total, n), "n", first_error_of(side.ranges(), order), error_if(n < 1, "#NUM!"))
+
+
+#: name -> builder from the rows with their side column
+SIDED = {"MODE": _mode, "AVEDEV": _avedev}
+
+
 # -- the same functions across the cells of one row ---------------------------
 def _row_numbers(args: list[tuple[Value, bool]], number) -> tuple[Column, list[Column]]:
     """An array of the numbers among the cells, and their errors. A cell of an

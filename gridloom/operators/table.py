@@ -9,6 +9,8 @@ from ..plans.values import Value
 
 #: Rows for each range bucket of a global order, and most buckets.
 BUCKET_ROWS, BUCKETS = 250_000, 4096
+#: Groups up to which a table of one row a group is broadcast, after a count.
+FEW_GROUPS = 100_000
 
 
 def order_number(c: Column, kind: str) -> Column:
@@ -70,16 +72,32 @@ class Table:
         return self._with(self.df.withColumns(made))
 
     def measures(self, formulas: dict[str, str], by: list[str] | None = None, errors: bool = False) -> DataFrame:
-        """Formulas over whole columns, for each group, in one aggregation; with
-        errors, each adds a column <name>_error."""
-        compiler = MeasureCompiler(columns_of(self.df), self.names, self.macros, self.precision, self.order)
+        """Formulas over whole columns, for each group, in one aggregation (MODE
+        and AVEDEV have one before it); with errors, each adds a column
+        <name>_error."""
+        sides = None if self.df.isStreaming else []
+        compiler = MeasureCompiler(columns_of(self.df), self.names, self.macros, self.precision, self.order, sides=sides)
         made = []
         for name, source in formulas.items():
             v = compiler.formula(source)
             made.append(v.col.alias(name))
             if errors:
                 made.append((v.err if v.err is not None else F.lit(None).cast("string")).alias(f"{name}_error"))
-        return self.df.groupBy(*(by or [])).agg(*made)
+        rows = self.df
+        for side in sides or []:
+            rows = self._beside(rows, side.table(self.df, by or [], self.order), by or [])
+        return rows.groupBy(*(by or [])).agg(*made)
+
+    @staticmethod
+    def _beside(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+        """Rows with the further columns of a table of one row a group; of few
+        groups it is broadcast, so that rows of a large group stay where they are."""
+        if not by:
+            return rows.crossJoin(F.broadcast(table))
+        table = table.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)})
+        few = table.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+        same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+        return rows.join(F.broadcast(table) if few else table, same, "left").drop(*[f"_by{i}" for i in range(len(by))])
 
     def select(self, *columns: str) -> DataFrame:
         return self.df.select(*columns)

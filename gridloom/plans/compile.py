@@ -314,11 +314,14 @@ class Compiler:
 
 class MeasureCompiler(Compiler):
     """Formulas over whole columns; what stands inside an aggregate is row-wise.
-    order: columns that say which row comes first, where that counts."""
+    order: columns that say which row comes first, where that counts. sides: gets
+    what a table beside the rows must give for each group first (``A.Side``);
+    without it the kernel does these functions."""
 
-    def __init__(self, columns, *args, **kw):
+    def __init__(self, columns, *args, sides: list | None = None, **kw):
         super().__init__(columns, *args, **kw)
         self.rows = Compiler(columns, *args, **kw)
+        self.sides = sides
 
     def _aggregates(self, t) -> bool:
         own = t[0] == "call" and t[1] in LIBRARY and LIBRARY[t[1]].mode == "range" and t[1] not in _SPREADING and self.holds_column(t)
@@ -383,6 +386,11 @@ class MeasureCompiler(Compiler):
             return A.truth(name, ranges, [truth_of(x) for f in fixed for x in grid(f).flat()], self.order)
         if name == "ROWS":
             return Value(F.count("*").cast("double"), "n")
+        if name in A.SIDED and self.sides is not None:
+            places = [(self._range(a), []) if not self.constant(a) else (None, numbers([self._fixed(a)])) for a in args]
+            side = A.Side(f"_gridloom_side{len(self.sides)}", name, places)
+            self.sides.append(side)
+            return A.SIDED[name](side, self.order)
         if name in FUNCTIONS and name not in _SPREADING:
             return super()._native(name, args)
         return self._grouped(name, args)

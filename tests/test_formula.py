@@ -47,3 +47,26 @@ def test_measures_of_nothing(spark):
     t = Table(spark.createDataFrame([(None, None), (1.0, "a")], "x double, s string"))
     row = t.measures({"n": "=COUNT([x])", "a": "=COUNTA([s])", "b": "=COUNTBLANK([s])", "w": '=COUNTIF([s],"A*")', "avg": '=AVERAGEIFS([x],[s],"z")', "total": "=SUM([x])*2+SUM([s])"}).first()
     assert row.asDict() == {"n": 1.0, "a": 1.0, "b": 1.0, "w": 1.0, "avg": None, "total": 2.0}
+
+
+def test_mode_and_avedev_of_large_groups(spark):
+    """The kernel's results, without a group's cells in one place."""
+    from pyspark.sql import functions as F
+
+    rows = [("a", 1, 4.0, 1.0, None), ("a", 2, 1.0, 2.0, "1"), ("a", 3, 1.0, None, "x"), ("a", 4, 4.0, 7.0, "y"), (None, 1, 3.0, 3.0, "z"), (None, 2, 5.0, None, None), ("b", 1, None, None, None), ("c", 1, 2.0, 9.0, "")]
+    t = Table(spark.createDataFrame(rows, "g string, i int, x double, y double, s string"), ["i"])
+    formulas = {"m": "=MODE([x])", "two": "=MODE([y],[x],{9,7})+1", "fixed": "=MODE(2,[x],7)", "none": "=MODE([s])", "d": "=AVEDEV([x])", "e": "=AVEDEV([x],[y],10)", "f": "=AVEDEV([s])"}
+    got = {r["g"]: r.asDict() for r in t.measures(formulas, ["g"], errors=True).collect()}
+    assert [got[g]["m"] for g in ("a", None, "b", "c")] == [1.0, None, None, None] and got["b"]["m_error"] == got["a"]["none_error"] == "#N/A"
+    assert [got[g]["two"] for g in ("a", None, "b", "c")] == [2.0, 4.0, None, 10.0] and [got[g]["fixed"] for g in ("a", "c")] == [1.0, 2.0]
+    assert [got[g]["d"] for g in ("a", None, "b", "c")] == [1.5, 1.0, None, 0.0] and got["b"]["d_error"] == got["a"]["f_error"] == "#NUM!"
+    assert math.isclose(got["a"]["e"], sum(abs(x - 3.75) for x in (4, 1, 1, 4, 1, 2, 7, 10)) / 8) and got["b"]["e"] == 0.0
+    whole = Table(t.df.where("false"), ["i"]).measures({"m": "=MODE([x],5,5)", "n": "=MODE([x])", "d": "=AVEDEV([x],1,3)", "e": "=AVEDEV([x])"}, errors=True).first()
+    assert (whole["m"], whole["n_error"], whole["d"], whole["e_error"]) == (5.0, "#N/A", 1.0, "#NUM!")
+    many = Table(spark.range(300_000).select("id", F.when(F.col("id") % 5 < 2, 7.0).otherwise(F.col("id").cast("double")).alias("x")), ["id"])
+    plan = many.measures({"m": "=MODE([x])", "d": "=AVEDEV([x])"})._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "collect_list" not in plan
+    row = many.measures({"m": "=MODE([x])", "d": "=AVEDEV([x])"}).first()
+    xs = [7.0 if i % 5 < 2 else float(i) for i in range(300_000)]
+    mean = sum(xs) / len(xs)
+    assert row["m"] == 7.0 and math.isclose(row["d"], sum(abs(x - mean) for x in xs) / len(xs), rel_tol=1e-9)
