@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CELLS = "book string, sheet string, row int, column int, content string"
 VALUES = "book string, sheet string, row int, column int, kind string, n double, s string, b boolean, is_formula boolean"
+#: Cells that a task evaluates together.
+CHUNK = 100_000
 _BOOK = "book string, sheets array<struct<name:string,cells:map<string,string>>>, names array<struct<name:string,meaning:string>>"
 
 
@@ -41,17 +43,21 @@ def laid_out(df: DataFrame, book: Column | str, row: Column | str, columns: list
 
 def evaluated(cells: DataFrame, macros: dict | None = None) -> DataFrame:
     """The values of all cells, spilled ones included. Each workbook's cells come
-    together, one workbook after the other; one is held at a time. A table as
-    large as no workbook can be belongs in ``Table`` instead."""
+    together; workbooks of one layout are evaluated together (``layouts``), others
+    one after the other. Some CHUNK cells are held at a time, a workbook at least.
+    A table as large as no workbook can be belongs in ``Table`` instead."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         from gridloom.kernel.cells import Err
         from gridloom.operators.workbook import Workbook
+        from gridloom.sources.layouts import Layouts
 
         names = VALUES.replace(",", "").split()[::2]
         types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.bool_()]
+        layouts = Layouts(macros)
 
         def values(name, contents):
             book = Workbook(sorted({k[0] for k in contents}), macros)
@@ -63,21 +69,50 @@ def evaluated(cells: DataFrame, macros: dict | None = None) -> DataFrame:
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        now, contents, out = None, {}, []
+        def coded(column):
+            told = column.dictionary_encode()
+            return told.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), told.dictionary.to_pylist()
+
+        def done(chunk):
+            """The values of whole workbooks, whose hashes are in order."""
+            (book, books), (sheet, sheets), (content, contents) = (coded(chunk.column(k)) for k in (1, 2, 5))
+            row, column = (chunk.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
+            order = np.lexsort((column, row, sheet, book))
+            book, sheet, row, column, content = book[order], sheet[order], row[order], column[order], content[order]
+            n, settled, formula = layouts.evaluate(np.cumsum(np.diff(book, prepend=book[0]) != 0), sheet, row, column, content, [sheets, contents])
+            at = np.flatnonzero(settled)
+            if len(at):
+                told = chunk.take(pa.array(order[at]))
+                none = len(at)
+                yield pa.RecordBatch.from_arrays([*[told.column(k) for k in (1, 2, 3, 4)], pa.array(["number"] * none), pa.array(n[at]), pa.nulls(none, pa.string()), pa.nulls(none, pa.bool_()), pa.array(formula[at])], names=names)
+            left, out = np.flatnonzero(~settled), []
+            for some in np.split(left, np.flatnonzero(np.diff(book[left])) + 1) if len(left) else []:
+                k = book[some[0]]
+                own = {(sheets[s], r, c): contents[x] if x >= 0 else None for s, r, c, x in zip(sheet[some].tolist(), row[some].tolist(), column[some].tolist(), content[some].tolist())}
+                out += values(books[k] if k >= 0 else None, own)
+                if len(out) >= 10_000:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
+
+        held, size = [], 0
         for batch in batches:
-            for name, s, r, c, x in zip(*(col.to_pylist() for col in batch.columns)):
-                if name != now:
-                    out += values(now, contents) if contents else []
-                    now, contents = name, {}
-                    if len(out) >= 10_000:
-                        yield batch_of(out)
-                        out = []
-                contents[(s, r, c)] = x
-        out += values(now, contents) if contents else []
-        if out:
-            yield batch_of(out)
-
-    rows = cells.select("book", "sheet", "row", "column", "content").repartition("book").sortWithinPartitions("book", "sheet", "row", "column")
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK:
+                chunk = pa.concat_batches(held)
+                h = chunk.column(0).to_numpy()
+                cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0  # the last workbook may go on
+                if cut:
+                    yield from done(chunk.slice(0, cut))
+                held, size = [chunk.slice(cut)], 0 if not cut else size - cut
+        if held:
+            yield from done(pa.concat_batches(held))
+
+    rows = cells.select(F.xxhash64("book").alias("h"), "book", "sheet", "row", "column", "content").repartition("book").sortWithinPartitions("h")
     return rows.mapInArrow(run, VALUES)
 
 

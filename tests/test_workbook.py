@@ -143,3 +143,56 @@ def test_stream(spark, tmp_path):
     while query.isActive and time.time() < end:
         time.sleep(0.2)
     assert sorted((r["total"], r["n"]) for r in spark.table("windows").collect()) == [(7.0, 3.0), (25.0, 3.0)]
+
+
+def test_workbooks_of_one_layout(spark):
+    """Evaluated together, to the last bit as each by itself; odd ones among them."""
+    import random
+
+    from gridloom.sources.cells import evaluated
+
+    draw = random.Random(4)
+    layouts = [
+        ["=A1*(1+B1)", "=SUM($A$1:A2)", "=A1/SUM(A$1:A$99)", "=ROW()+COLUMN()", "=-C1%", "=H1-A2", "=AVERAGE(A1:B3,C1)"],
+        ["=MAX(A1:B9)-MIN(A1:B9)", "=COUNT(A1:C9)/7", "=C1+Z9", "=SUM(Y1:Z9)", "=+sheet1!A1", "=1/B1", "=C1+D1+E1"],
+        ["=C2", "=IF(A1>B1,A1,\"less\")", "=A1:A2", "=NOPE(1)", "=A1&B1", "=1+", "=AVERAGE(Z1:Z3)"],
+    ]
+    rows = []
+    for k in range(90):
+        formulas = layouts[k % 3]
+        for r in range(2 + k % 2):
+            rows += [(f"b{k}", "Sheet1", r, c, str(draw.choice([draw.uniform(-9, 9), draw.randint(-3, 3), 1e300 if k % 10 == 0 else 0.1]))) for c in range(2)]
+        rows += [(f"b{k}", "Sheet1", 0, c + 2, f) for c, f in enumerate(formulas[:3])] + [(f"b{k}", "Sheet1", 1, c + 2, f) for c, f in enumerate(formulas[3:])]
+    rows += [("b3", "Sheet1", 9, 9, "text"), ("b4", "Other", 0, 0, "5%"), (None, "Sheet1", 0, 0, "2"), (None, "Sheet1", 0, 1, "=A1*2"), ("b6", "Sheet1", 8, 8, "")]
+    want = {}
+    for name in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == name]
+        book = Workbook(sorted({r[0] for r in own}))
+        book.set_many({(s, r, c): x for s, r, c, x in own})
+        want |= {(name, *k): (x.code if isinstance(x, Err) else x, book.formula(*k) is not None) for k, x in book.values.items()}
+    cells = spark.createDataFrame(rows, "book string, sheet string, row int, column int, content string")
+    got = {(r["book"], r["sheet"], r["row"], r["column"]): (r["n"] if r["kind"] == "number" else r["b"] if r["kind"] == "logical" else r["s"], r["is_formula"]) for r in evaluated(cells).collect()}
+    assert got == want and any(x == "#DIV/0!" for x, _ in want.values()) and any(x == "#CIRCULAR!" or x == "less" for x, _ in want.values())
+
+
+def test_layout_plans():
+    from gridloom.sources.layouts import Plan, Unsupported
+
+    at = [("Sheet1", 0, c) for c in range(3)]
+    Plan(at, [None, "=A1+1", "=SUM(A1:B1)"], {})
+    for formulas in ([None, "=C1", "=B1"], [None, "=B1", None], [None, "=A1^2", None], [None, "=A1:A2", None], [None, "=(", None]):
+        with pytest.raises(Unsupported):
+            Plan(at, formulas, {})
+    with pytest.raises(Unsupported):
+        Plan(at, [None, "=SUM(A1)", None], {"SUM": len})
+
+
+def test_many_small_workbooks_take_seconds(spark):
+    from gridloom.sources.cells import evaluated, laid_out
+
+    lines = spark.range(160_000).selectExpr("id div 4 book", "id % 4 line", "cast(id % 50 as double) a", "0.25D b")
+    cells = laid_out(lines, "book", "line", ["a", "b"], formulas={"gross": "=A{row}*(1+B{row})", "upto": "=SUM($A$1:A{row})", "share": "=A{row}/SUM(A$1:A$999)"})
+    evaluated(cells.where("book = '1'")).count()
+    began = time.time()
+    assert evaluated(cells).selectExpr("count(*) n", "sum(case when column = 2 then n end) s").first() == (800_000, 160_000 * 24.5 * 1.25)
+    assert time.time() - began < 40
