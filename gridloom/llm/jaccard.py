@@ -21,7 +21,10 @@ rare first, and two similar sets must share a shingle within short prefixes.
 5. A last round pairs what shares a shingle but isn't yet in one component,
    under the same filters: for each shingle the nodes outside its largest
    component with all nodes. So nothing that decides a component is left out,
-   and groups of near copies, one component by then, cost nothing more.
+   and groups of near copies, one component by then, cost nothing more. Here
+   the parities of the histograms filter while the join compares: sets in which
+   d shingles differ differ in at most d parities, and a link allows a seventh
+   of both sizes. What shares a common line only never becomes a row.
 
 Prefix rows name a node by 64 bits of its fingerprint. Should two nodes share
 these, both stand for the row: more candidates, never a lost or a false link.
@@ -52,8 +55,8 @@ SEEN = 100_000
 SPLIT = 20_000
 #: Further hub rounds, with HUBS hubs for each shingle and length class.
 HUB_ROUNDS, HUBS = 2, 4
-#: Rows up to which a table of ids is broadcast, after a count.
-FEW = 500_000
+#: Rows up to which a table of ids is broadcast, after a count; ends of pairs.
+FEW, FEW_ENDS = 500_000, 100_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POW = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
 _SPACE = np.zeros(256, bool)
@@ -309,13 +312,31 @@ def _sets(keys: DataFrame, classes: DataFrame, documents: DataFrame, repeated: b
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
 
     sets = texts.mapInArrow(task("jaccard", run), "key string, tokens binary")
-    return scratch.keep(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
+    out = scratch.keep(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
+    scratch.drop(wanted)
+    return out
+
+
+def _parities(classes: DataFrame) -> DataFrame:
+    """(f, e0 .. e3): for each bin of a node's histogram whether it is odd; a
+    full bin, which may have more, counts as FULL for all."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                bins = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BINS)
+                odd = np.packbits(bins & 1, axis=1).view(">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(odd[:, k]) for k in range(4)]], names=["f", "e0", "e1", "e2", "e3"])
+
+    return classes.select("f", "bins").mapInArrow(task("jaccard", run), "f long, e0 long, e1 long, e2 long, e3 long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, repeated: bool, scratch: Scratch) -> DataFrame:
     """Of pairs (fa, fb): the links (a, b) of their nodes. repeated: rows may
     share an id and a text."""
-    ca, cb = (classes.select(F.col("f").alias("f" + s), F.col("key").alias("k" + s), F.col("n").alias("n" + s), F.col("bins").alias("b" + s)) for s in "ab")
+    ends = scratch.keep(pairs.select(F.explode(F.array("fa", "fb")).alias("f")).distinct(), "ends")
+    some = classes.join(F.broadcast(ends), "f", "left_semi") if ends.count() <= FEW_ENDS else classes
+    ca, cb = (some.select(F.col("f").alias("f" + s), F.col("key").alias("k" + s), F.col("n").alias("n" + s), F.col("bins").alias("b" + s)) for s in "ab")
 
     def suffix(batches):
         for batch in batches:
@@ -328,6 +349,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, repeat
 
     close = pairs.join(ca, "fa").join(cb, "fb").where("ka <> kb").select("ka", "kb", "na", "nb", "ba", "bb").mapInArrow(task("jaccard", suffix), "ka string, kb string")
     close = scratch.keep(close, "close")
+    scratch.drop(ends)
     sets = _sets(close.select(F.col("ka").alias("key")).union(close.select(F.col("kb").alias("key"))), classes, documents, repeated, scratch)
 
     def verify(batches):
@@ -342,7 +364,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, repeat
                 yield part.filter(pa.array(good, pa.bool_())).select([0, 1])
 
     ta, tb = (sets.select(F.col("key").alias("k" + s), F.col("tokens").alias("t" + s)) for s in "ab")
-    return scratch.keep(close.join(ta, "ka").join(tb, "kb").select("ka", "kb", "ta", "tb").mapInArrow(task("jaccard", verify), "a string, b string"), "links")
+    links = scratch.keep(close.join(ta, "ka").join(tb, "kb").select("ka", "kb", "ta", "tb").mapInArrow(task("jaccard", verify), "a string, b string"), "links")
+    scratch.drop(sets)
+    scratch.drop(close)
+    return links
 
 
 def _open(rows: DataFrame, classed: DataFrame) -> DataFrame:
@@ -364,12 +389,15 @@ def _met(rows: DataFrame, k: int) -> DataFrame:
     return _ordered(met.where((F.col("component") != F.col("hcomponent")) & _may_link("n", "pos", "hn", "hpos")), "f", "hf")
 
 
-def _left(rows: DataFrame) -> DataFrame:
+def _left(rows: DataFrame, parities: DataFrame) -> DataFrame:
     """Pairs (fa, fb) of nodes that share a shingle and pass the filters, but are
     in different components: one of them is outside the shingle's largest."""
-    a, b = (r.select("token", *(F.col(c).alias(c + s) for c in ("f", "n", "pos", "component"))) for r, s in ((rows.where("component <> main"), "a"), (rows, "b")))
+    odd = [f"e{k}" for k in range(4)]
+    rows = rows.join(parities, "f")
+    a, b = (r.select("token", *(F.col(c).alias(c + s) for c in ("f", "n", "pos", "component", *odd))) for r, s in ((rows.where("component <> main"), "a"), (rows, "b")))
+    alike = F.expr(f"7 * ({' + '.join(f'bit_count({e}a ^ {e}b)' for e in odd)}) <= na + nb")
     indexed = F.expr(f"if(na < nb or (na = nb and fa < fb), posa < {_INDEXED.format('a')}, posb < {_INDEXED.format('b')})")
-    return _ordered(a.join(b, "token").where((F.col("componenta") != F.col("componentb")) & indexed & _may_link("na", "posa", "nb", "posb")), "fa", "fb")
+    return _ordered(a.join(b, "token").where((F.col("componenta") != F.col("componentb")) & indexed & _may_link("na", "posa", "nb", "posb") & alike), "fa", "fb")
 
 
 def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -388,6 +416,7 @@ def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFram
     rows = scratch.keep(shared.select("token", "f", "n", "pos").join(crowds, "token"), "crowds")
     tops = _hubs(shared.where("top").select("token", F.lit(0).alias("salt"), "f", "n", "pos"))
     pairs = scratch.keep(_told(shared).union(_told(tops)).distinct(), "pairs")
+    scratch.drop(shared)
     again = nodes.where("key is not null").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
     repeated = not again.isEmpty()
     links = _verified(pairs, classes, documents, repeated, scratch)
@@ -403,7 +432,8 @@ def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFram
     classed = settled(links)
     for k in range(HUB_ROUNDS + 1):
         now = scratch.keep(_open(rows, classed.select("f", "component")), "open")
-        new = scratch.keep((_left(now) if k == HUB_ROUNDS else _met(now, k)).join(pairs, ["fa", "fb"], "left_anti"), "pairs")
+        new = scratch.keep((_left(now, _parities(classes)) if k == HUB_ROUNDS else _met(now, k)).join(pairs, ["fa", "fb"], "left_anti"), "pairs")
+        scratch.drop(now)
         links = _verified(new, classes, documents, repeated, scratch)
         if not links.isEmpty():
             classed = settled(stars(classed).union(links))

@@ -115,6 +115,31 @@ def test_jaccard_long_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_jaccard_common_line(spark):
+    """Texts that share a line and link through others: no link is lost."""
+    line = " ".join(f"c{i}" for i in range(20))
+    texts = [f"{line} {i}x {i}y {i}z" for i in range(60)] + [f"{line} {i}x {i}y" for i in range(0, 60, 9)] + [line, f"{line} {line[:50]}"]
+    rows = list(enumerate(texts))
+    got = jaccard.op2(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == _groups(_sets(rows))
+
+
+def test_jaccard_last_round_compares_sets(spark):
+    """Nodes of a common shingle: all that link become pairs, few others do."""
+    random = np.random.default_rng(8)
+    base = random.integers(0, 2**64, 140, np.uint64)
+    sets = []
+    for k in range(200):
+        own = random.integers(0, 2**64, 30 if k % 4 else 8, np.uint64)
+        sets.append(np.sort(np.concatenate([base[: 140 - len(own)], own])))
+    bins = [np.minimum(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=jaccard.BINS), jaccard.FULL).astype(np.uint8).tobytes() for x in sets]
+    classes = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bins)], "f long, bins binary")
+    rows = spark.createDataFrame([(1, i, len(x), 0, f"c{i}", "c0") for i, x in enumerate(sets)], "token long, f long, n int, pos int, component string, main string")
+    got = {tuple(r) for r in jaccard._left(rows, jaccard._parities(classes)).collect()}
+    near = {(i, j) for i in range(200) for j in range(i) if (both := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 75 * (280 - both)}
+    assert near and {(j, i) for i, j in near} <= got and len(got) < 19_900 / 4  # of all pairs
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = jaccard.op2(spark, odd).collect()
     assert len(got) == len(ODD) + 2
