@@ -38,6 +38,8 @@ text. Further columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -105,6 +107,16 @@ def fingerprint(sh: np.ndarray) -> tuple[int, str]:
     return int(f.astype(np.int64)), f"{int(f):016x}{int(g):016x}"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters byte by byte: the lowest bytes of all, then the next."""
+    return pa.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _places(sh: np.ndarray) -> np.ndarray:
     return (sh >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -139,10 +151,10 @@ def _nodes(documents: DataFrame) -> DataFrame:
                 none = [None] * len(f)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.string()), pa.array(f, pa.int64()), pa.array(n, pa.int64()), pa.array(bins, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         if key_type is not None:
-            split = counts.astype("<u4").reshape(PARTS, -1)
+            split = counts.reshape(PARTS, -1)
             on = [p for p in range(PARTS) if split[p].any()]
             none = [None] * len(on)
-            packed = [pa.compress(split[p].tobytes(), codec="zstd", asbytes=True) for p in on]
+            packed = [_packed(split[p]) for p in on]
             yield pa.RecordBatch.from_arrays([pa.array(none, key_type), pa.array(none, pa.int64()), pa.array(none, pa.string()), *[pa.array(none, pa.int64())] * 2, pa.array(none, pa.binary()), pa.array(on, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return _rows(documents).mapInArrow(task("jaccard", run), f"doc_id {kind}, h long, key string, f long, n long, bins binary, part int, counts binary")
@@ -152,20 +164,17 @@ def _merged(sketches: DataFrame) -> np.ndarray:
     """The sketch of all tasks: a fixed 2^SKETCH_BITS counters."""
     width = (1 << SKETCH_BITS) // PARTS
 
-    def counters(packed: bytes) -> np.ndarray:
-        return np.frombuffer(pa.decompress(packed, decompressed_size=4 * width, codec="zstd", asbytes=True), "<u4")
-
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[p] = total.get(p, 0) + counters(c).astype(np.uint64)
+                total[p] = total.get(p, 0) + _unpacked(c, width).astype(np.uint64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pa.compress(np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes(), codec="zstd", asbytes=True) for v in total.values()], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(np.minimum(v, 0xFFFFFFFF)) for v in total.values()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros((PARTS, width), np.uint32)
     for r in sketches.select("part", "counts").repartition("part").mapInArrow(task("jaccard", run), "part int, counts binary").collect():
-        out[r["part"]] = counters(bytes(r["counts"]))
+        out[r["part"]] = _unpacked(bytes(r["counts"]), width)
     return out.ravel()
 
 
@@ -226,24 +235,27 @@ def _prefixes(documents: DataFrame, sketch) -> DataFrame:
 def _hubs(prefixes: DataFrame) -> DataFrame:
     """Rows of shingles that two nodes or more share, each with its hub: the
     first node of its shingle, salt and length class, or for that node the hub
-    of the class before. ``top`` marks the hubs of salted shingles. Rows come
-    sorted; what is carried from batch to batch is two rows, however large a
-    group is."""
+    of the class before. ``top`` marks the hubs of salted shingles, ``crowd`` the
+    rows of shingles that three nodes or more share. Rows come sorted; what is
+    carried from batch to batch is three rows, however large a group is. Two
+    rows at a batch's end wait for the next batch, which may have a third."""
 
     def run(batches):
-        carry = None
-        for batch in batches:
-            token, salt, f, n, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        carry, had = None, 0  # had: rows of the last group besides the carried ones
+        for batch in chain(batches, (None,)):
+            if batch is None:
+                if carry is None:
+                    return
+                token, salt, f, n, pos = (x[:0] for x in carry[:5])
+            else:
+                token, salt, f, n, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             told = np.zeros(len(token), bool)
-            old = 0
             if carry is not None:
                 token, salt, f, n, pos, told = (np.concatenate([x, y]) for x, y in zip(carry, (token, salt, f, n, pos, told)))
-                old = len(carry[0])
             copy = np.zeros(len(token), bool)
             copy[1:] = (token[1:] == token[:-1]) & (f[1:] == f[:-1]) & (n[1:] == n[:-1])
             if copy.any():
                 keep = ~copy
-                old -= int(copy[:old].sum())
                 token, salt, f, n, pos, told = token[keep], salt[keep], f[keep], n[keep], pos[keep], told[keep]
             size = len(token)
             first = np.ones(size, bool)
@@ -260,24 +272,29 @@ def _hubs(prefixes: DataFrame) -> DataFrame:
             before[first] = -1
             partner = np.where(opens, before, hub)
             group = np.cumsum(first) - 1
-            shared = (np.bincount(group)[group] > 1) | (salt > 0)
-            out = np.flatnonzero(shared & ~told)
+            sizes = np.bincount(group)
+            sizes[0] += had
+            crowd = (sizes[group] > 2) | (salt > 0)
+            tell = ((sizes[group] > 1) | crowd) & ~told
+            if batch is not None:
+                tell &= crowd | (group < group[-1])
+            out = np.flatnonzero(tell)
             if len(out):
                 p = partner[out]
-                none = (p < 0) | (out < old)  # a carried row's pair is told already, or it has none
+                none = p < 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[out]), pa.array(f[out]), pa.array(n[out]), pa.array(pos[out]), pa.array((salt > 0)[out] & opens[out]), pa.array(f[p], mask=none), pa.array(n[p], mask=none), pa.array(pos[p], mask=none)],
-                    names=["token", "f", "n", "pos", "top", "hf", "hn", "hpos"],
+                    [pa.array(token[out]), pa.array(f[out]), pa.array(n[out]), pa.array(pos[out]), pa.array((salt > 0)[out] & opens[out]), pa.array(crowd[out]), pa.array(f[p], mask=none), pa.array(n[p], mask=none), pa.array(pos[p], mask=none)],
+                    names=["token", "f", "n", "pos", "top", "crowd", "hf", "hn", "hpos"],
                 )
-            told |= shared
+            told |= tell
             last = size - 1
             ends = [last] if opens[last] else [hub[last], last]
             if before[hub[last]] >= 0:
                 ends = [before[hub[last]], *ends]
             ends = np.array(ends)
-            carry = token[ends], salt[ends], f[ends], n[ends], pos[ends], told[ends]
+            carry, had = (token[ends], salt[ends], f[ends], n[ends], pos[ends], told[ends]), sizes[-1] - len(ends)
 
-    return prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "f").mapInArrow(task("jaccard", run), "token long, f long, n int, pos int, top boolean, hf long, hn int, hpos int")
+    return prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "f").mapInArrow(task("jaccard", run), "token long, f long, n int, pos int, top boolean, crowd boolean, hf long, hn int, hpos int")
 
 
 def _may_link(n: str, pos: str, m: str, at: str):
@@ -370,15 +387,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, repeat
     return links
 
 
-def _open(rows: DataFrame, classed: DataFrame) -> DataFrame:
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= FEW_ENDS else rows
+
+
+def _open(rows: DataFrame, linked: DataFrame) -> DataFrame:
     """Rows of shingles that nodes of several components share, with their
-    components, and the largest component of each shingle."""
-    rows = rows.select("token", "f", "n", "pos").join(classed, "f")
+    components, and the largest component of each shingle. Without a component
+    are nodes that are one by themselves."""
+    rows = rows.select("token", "f", "n", "pos").join(_few(linked), "f", "left")
     each = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
-    tokens = each.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("n", "component"))["component"].alias("main")).where("k > 1").select("token", "main")
+    k, largest = F.expr("if(component is null, n, 1L)"), F.max(F.struct(F.expr("if(component is null, 1L, n)"), "component"))
+    tokens = each.groupBy("token").agg(F.sum(k).alias("k"), largest["component"].alias("main")).where("k > 1").select("token", "main")
     return rows.join(tokens, "token")
 
 
+def _apart(a: str, b: str, fa: str, fb: str):
+    """Nodes fa and fb, of the components a and b, are in different ones."""
+    return F.expr(f"if({a} is null and {b} is null, {fa} <> {fb}, not ({a} <=> {b}))")
+
+
 def _met(rows: DataFrame, k: int) -> DataFrame:
     """Pairs (fa, fb) of rows with their hubs: of each shingle and length class
     the nodes first by HUBS keyed hashes. Nodes of one component aren't paired."""
@@ -386,7 +414,7 @@ def _met(rows: DataFrame, k: int) -> DataFrame:
     picks = [F.min(F.struct(F.xxhash64(F.lit(k * HUBS + h), "token", "f").alias("o"), "f", "n", "pos", "component")).alias(f"h{h}") for h in range(HUBS)]
     hubs = rows.groupBy("token", "kind").agg(*picks).select("token", "kind", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"h{h}.{c}").alias(c) for c in ("f", "n", "pos", "component")]) for h in range(HUBS)]))).alias("hub"))
     met = rows.join(hubs.select("token", "kind", *[F.col(f"hub.{c}").alias("h" + c) for c in ("f", "n", "pos", "component")]), ["token", "kind"])
-    return _ordered(met.where((F.col("component") != F.col("hcomponent")) & _may_link("n", "pos", "hn", "hpos")), "f", "hf")
+    return _ordered(met.where(_apart("component", "hcomponent", "f", "hf") & _may_link("n", "pos", "hn", "hpos")), "f", "hf")
 
 
 def _left(rows: DataFrame, parities: DataFrame) -> DataFrame:
@@ -394,16 +422,17 @@ def _left(rows: DataFrame, parities: DataFrame) -> DataFrame:
     in different components: one of them is outside the shingle's largest."""
     odd = [f"e{k}" for k in range(4)]
     rows = rows.join(parities, "f")
-    a, b = (r.select("token", *(F.col(c).alias(c + s) for c in ("f", "n", "pos", "component", *odd))) for r, s in ((rows.where("component <> main"), "a"), (rows, "b")))
+    a, b = (r.select("token", *(F.col(c).alias(c + s) for c in ("f", "n", "pos", "component", *odd))) for r, s in ((rows.where("component is null or not (component <=> main)"), "a"), (rows, "b")))
     alike = F.expr(f"7 * ({' + '.join(f'bit_count({e}a ^ {e}b)' for e in odd)}) <= na + nb")
     indexed = F.expr(f"if(na < nb or (na = nb and fa < fb), posa < {_INDEXED.format('a')}, posb < {_INDEXED.format('b')})")
-    return _ordered(a.join(b, "token").where((F.col("componenta") != F.col("componentb")) & indexed & _may_link("na", "posa", "nb", "posb") & alike), "fa", "fb")
+    return _ordered(a.join(b, "token").where(_apart("componenta", "componentb", "fa", "fb") & indexed & _may_link("na", "posa", "nb", "posb") & alike), "fa", "fb")
 
 
 def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (doc_id, h, key, n) of every row, and classes (key, component): the
-    keys of linked nodes have one component, the smallest of them."""
-    scratch = Scratch(spark, "jaccard")
+    """nodes (doc_id, h, key, n) of every row, and linked (key, component): the
+    keys of linked nodes have one component, the smallest of them. Keys that
+    aren't there are linked with none."""
+    scratch = Scratch(spark, "jaccard", "zstd")
     written = scratch.keep(_nodes(documents), "nodes")
     nodes = written.where("part is null").drop("part", "counts")
     sketch = spark.sparkContext.broadcast(_merged(written.where("part is not null")))
@@ -412,26 +441,30 @@ def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFram
     classes = scratch.keep(classes.select("key", "f", "n", F.col("r.doc_id").alias("id"), F.col("r.h").alias("h"), "bins"), "classes")
     shared = scratch.keep(_hubs(_prefixes(documents, sketch)), "shared")
     # two nodes of a shingle meet in the first round: later ones are for three or more
-    crowds = shared.groupBy("token").agg(F.count("*").alias("crowd")).where("crowd > 2").select("token")
-    rows = scratch.keep(shared.select("token", "f", "n", "pos").join(crowds, "token"), "crowds")
+    rows = scratch.keep(shared.where("crowd").select("token", "f", "n", "pos"), "crowds")
     tops = _hubs(shared.where("top").select("token", F.lit(0).alias("salt"), "f", "n", "pos"))
     pairs = scratch.keep(_told(shared).union(_told(tops)).distinct(), "pairs")
     scratch.drop(shared)
     again = nodes.where("key is not null").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
     repeated = not again.isEmpty()
     links = _verified(pairs, classes, documents, repeated, scratch)
-    ids = classes.select("f", F.col("key").alias("node"))
+    # 64 bits are rarely two nodes': these have a component each, linked or not
+    twins = F.broadcast(classes.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
+    twins = scratch.keep(classes.join(twins, "f", "left_semi").select(F.col("key").alias("node"), F.col("key").alias("component")), "twins")
 
     def settled(links: DataFrame) -> DataFrame:
-        found = connected_components(links, scratch)
-        return scratch.keep(ids.join(found, "node", "left").select("f", "node", F.coalesce("component", "node").alias("component")), "components")
+        found = scratch.keep(connected_components(links, scratch), "found")
+        both = found.union(twins.join(found, "node", "left_anti"))
+        out = scratch.keep(both.select(F.conv(F.substring("node", 1, 16), 16, -10).cast("long").alias("f"), "node", "component"), "components")
+        scratch.drop(found)
+        return out
 
     def stars(classed: DataFrame) -> DataFrame:
         return classed.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     classed = settled(links)
     for k in range(HUB_ROUNDS + 1):
-        now = scratch.keep(_open(rows, classed.select("f", "component")), "open")
+        now = scratch.keep(_open(rows, classed.select("f", F.unhex("component").alias("component"))), "open")
         new = scratch.keep((_left(now, _parities(classes)) if k == HUB_ROUNDS else _met(now, k)).join(pairs, ["fa", "fb"], "left_anti"), "pairs")
         scratch.drop(now)
         links = _verified(new, classes, documents, repeated, scratch)
@@ -441,21 +474,27 @@ def component_table(spark: SparkSession, documents: DataFrame) -> tuple[DataFram
     return nodes.select("doc_id", "h", "key", "n"), classed.select(F.col("node").alias("key"), "component")
 
 
+def _components(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """Nodes with shingles, and the component of each."""
+    some = nodes.where("key is not null").join(_few(linked), "key", "left")
+    return some.withColumn("component", F.coalesce("component", "key"))
+
+
 def op2(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``documents``."""
-    nodes, classed = component_table(spark, documents)
-    some = nodes.where("key is not null").join(classed, "key")
+    nodes, linked = component_table(spark, documents)
+    some = _components(nodes, linked)
     least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = some.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(nodes.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = some.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return found.union(nodes.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each group of linked ones: that with the
     smallest id (an id before none), of rows that repeat it one. Rows without
     words all stay."""
-    nodes, classed = component_table(spark, documents)
-    some = nodes.where("key is not null").join(classed, "key")
+    nodes, linked = component_table(spark, documents)
+    some = _components(nodes, linked)
     first = some.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
     chosen = first.withColumn("one", F.lit(True)).union(nodes.where("key is null").select("doc_id", "h").distinct().withColumn("one", F.lit(False)))
     mine = {c: f"_gridloom_{c}" for c in ("doc_id", "h", "one")}  # beside whatever columns there are

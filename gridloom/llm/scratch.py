@@ -30,10 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run of an operator."""
+    """Tables of one run of an operator; codec: Parquet's, the session's if none."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, codec: str | None = None):
         self.spark = spark
+        self._options = {"compression": codec} if codec else {}
         self.root = f"{shared_folder(spark)}/gridloom/{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
 
@@ -44,7 +45,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: later stages start from the files."""
         path, schema = self.path(name), df.schema
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**self._options).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._gridloom_path = path
         return out

@@ -140,6 +140,57 @@ def test_jaccard_last_round_compares_sets(spark):
     assert near and {(j, i) for i, j in near} <= got and len(got) < 19_900 / 4  # of all pairs
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3, 10_000])
+def test_jaccard_hubs_tell_crowds(spark, batch):
+    """Rows of a shingle are told once each, with their hubs, and as a crowd if
+    three nodes or more share it, wherever batches end."""
+    sizes = [1, 2, 3, 1, 2, 7, 2, 2]
+    rows = [(t, 0, 10 * t + k, 20 if k % 2 else 60, k) for t, size in enumerate(sizes) for k in range(size)] + [(90, 1, 900, 20, 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = jaccard._hubs(spark.createDataFrame(rows + rows[:9], "token long, salt int, f long, n int, pos int").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["token"], r["f"], r["crowd"]) for r in got) == sorted((t, f, salt > 0 or sizes[t] > 2) for t, salt, f, *_ in rows if salt or sizes[t] > 1)
+    paired = collections.Counter(r["token"] for r in got if r["hf"] is not None and r["hf"] != r["f"])
+    assert paired == {t: size - 1 for t, size in enumerate(sizes) if size > 1}
+
+
+def test_jaccard_open_shingles(spark):
+    """Nodes without a component are one each; 64 bits of two nodes have both's."""
+    rows = [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 4), (3, 5), (4, 6), (5, 3)]
+    linked = spark.createDataFrame([(1, b"a"), (2, b"a"), (6, b"b"), (6, b"c")], "f long, component binary")
+    found = jaccard._open(spark.createDataFrame([(*r, 9, 0) for r in rows], "token long, f long, n int, pos int"), linked)
+    got = found.collect()
+    assert sorted((r["token"], r["f"]) for r in got) == [(1, 1), (1, 2), (1, 3), (3, 4), (3, 5), (4, 6), (4, 6)]
+    assert {bytes(r["main"]) for r in got if r["token"] == 1} == {b"a"}
+    met = {tuple(r) for r in jaccard._met(found, 0).collect()}
+    assert met == {(1, 3), (2, 3), (4, 5), (6, 6)}
+
+
+def test_jaccard_writes_linked_nodes_only(spark, monkeypatch):
+    """A round's components are those of linked nodes, not a row for each node."""
+    kept, keep = [], Scratch.keep
+
+    def counted(self, df, name):
+        kept.append((name, (out := keep(self, df, name)).count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, base), (1, base + " end")] + [(i, " ".join(f"{i}v{k}" for k in range(30))) for i in range(2, 80)]
+    got = jaccard.op2(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i if i != 1 else 0 for i in range(80)}
+    assert {n for name, n in kept if name == "components"} == {2}
+
+
+def test_jaccard_sketch_is_packed():
+    counts = np.random.default_rng(5).poisson(1.4, 32768).astype(np.uint32)
+    counts[7] = 0xFFFFFFFE
+    packed = jaccard._packed(counts)
+    assert (jaccard._unpacked(packed, len(counts)) == counts).all() and len(packed) < 12_000
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = jaccard.op2(spark, odd).collect()
     assert len(got) == len(ODD) + 2
